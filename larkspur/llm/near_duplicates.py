@@ -5,8 +5,11 @@ that agree in three places differ by one symbol each, a symmetric difference of
 every variant within half of that radius, i.e. with one symbol taken out, and two records meet in a
 variant exactly when they are within the radius.  Bit fingerprints would need a radius of about a quarter
 of their bits at the similarities asked for, with far too many variants; a symbol's deletion stands for
-all of its substitutions at once.  Ten independent fingerprints give pairs at a similarity of 0.6 a
-recall of 0.998, at 0.7 of 0.99999.
+all of its substitutions at once.
+
+The symbols of longer texts come from runs two words longer than those that are compared: texts made from
+the same phrases share many short runs and would meet by the thousands, though they aren't similar.
+Short texts have too few long runs and use the compared width itself; texts near the limit use both.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +28,18 @@ from .links import ALL_PAIRS_UP_TO, linked_pairs
 from .words import mixed, shingles, slices, word_hashes
 
 SYMBOLS = 4
+#: Texts of up to this many runs are fingerprinted by runs of the compared width, longer ones by longer runs.
+SHORT = 64
+LONGER = 2
 #: Members of a bucket that are paired in one group; larger buckets are split into blocks of about this size.
 BLOCK = 64
 
 
-def _variants(words: np.ndarray, starts: np.ndarray, width: int, fingerprints: int) -> np.ndarray:
-    """Ball variants of each text (a row each); all texts have at least ``width`` words and lie end to end."""
+def _variants(words: np.ndarray, at: np.ndarray, rows: np.ndarray, width: int, fingerprints: int) -> np.ndarray:
+    """Ball variants (a row each) of the texts ``rows``, which have at least ``width`` words each."""
+    sizes = at[rows + 1] - at[rows]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    words = words[np.repeat(at[rows] - starts, sizes) + np.arange(sizes.sum())]
     runs = shingles(words, width)
     ends = np.append(starts[1:], len(words))
     keep = np.ones(len(words), bool)
@@ -47,7 +57,7 @@ def _variants(words: np.ndarray, starts: np.ndarray, width: int, fingerprints: i
         for f in range(fingerprints):
             symbols = [mixed(least[f * SYMBOLS + s] + np.uint64(s + 1)) for s in range(SYMBOLS)]
             for gone in range(SYMBOLS):
-                key = np.full(len(starts), 1 + f * SYMBOLS + gone, np.uint64)
+                key = np.full(len(starts), 1 + f * SYMBOLS + gone + 1000 * width, np.uint64)
                 for s in range(SYMBOLS):
                     if s != gone:
                         key = mixed(key) + symbols[s]
@@ -55,7 +65,7 @@ def _variants(words: np.ndarray, starts: np.ndarray, width: int, fingerprints: i
     return out
 
 
-def fingerprints(records: DataFrame, key: str, text: str, width: int, tables: int) -> DataFrame:
+def fingerprints(records: DataFrame, key: str, text: str, width: int, threshold: float, tables: int) -> DataFrame:
     """``(key, class, variants)`` of every record of at least ``width`` words.
 
     class is a hash of the word sequence: records that differ in formatting only share it.  Within a task
@@ -79,26 +89,28 @@ def fingerprints(records: DataFrame, key: str, text: str, width: int, tables: in
                             seen.clear()
                         seen.add(c)
                         new.append(i)
+                # (place among the rows, variants) by runs of the compared width and by longer ones.
+                chosen = np.array(new, np.int64)
+                runs = (at[rows + 1] - at[rows])[chosen] - width + 1
+                made = [(chosen[ok], _variants(words, at, rows[chosen[ok]], wide, tables)) for wide, ok in ((width, runs <= SHORT), (width + LONGER, runs >= threshold * SHORT)) if ok.any()]
                 counts = np.zeros(len(rows), np.int64)
-                values = np.empty(0, np.int64)
-                if new:
-                    counts[new] = SYMBOLS * tables
-                    chosen = rows[new]
-                    inside = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(inside, at[chosen], 1)
-                    np.add.at(inside, at[chosen + 1], -1)
-                    flat = words[np.cumsum(inside[:-1]) > 0]
-                    sizes = (at[chosen + 1] - at[chosen]).astype(np.int64)
-                    values = _variants(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), width, tables).reshape(-1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()))
+                for places, v in made:
+                    counts[places] += v.shape[1]
+                begins = np.concatenate([[0], np.cumsum(counts)])
+                values = np.empty(begins[-1], np.int64)
+                filled = np.zeros(len(rows), np.int64)
+                for places, v in made:
+                    values[(begins[places] + filled[places])[:, None] + np.arange(v.shape[1])] = v.view(np.int64)
+                    filled[places] += v.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(values, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(classes, pa.int64()), lists], ["key", "class", "variants"])
 
     return records.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "key string, class long, variants array<long>")
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
-    """Byte offsets of a string column's values."""
-    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    """Byte offsets of a column of strings or bytes."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
@@ -118,14 +130,23 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
     return pairs.where("lo = hi or x.own <> y.own").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed texts: they are what the verification has to move."""
+    pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    for batch in batches:
+        packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["k", "t"])
+
+
 def _similar(width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for begin, end in slices(np.diff(_offsets(batch.column(2))) + np.diff(_offsets(batch.column(3))), 4_000_000):
                 part = batch.slice(begin, end - begin)
                 one, two = part.column(2), part.column(3)
                 values = pa.concat_arrays([one, two]).dictionary_encode()
-                words, at = word_hashes(values.dictionary.to_pylist())
+                words, at = word_hashes([unpack(z).decode("utf-8", "surrogatepass") for z in values.dictionary.to_pylist()])
                 sets = [np.unique(shingles(words[at[i] : at[i + 1]], width)) for i in range(len(at) - 1)]
                 places = values.indices.to_pylist()
                 good, found = [], []
@@ -146,7 +167,7 @@ def _similar(width: int, threshold: float):
     return run
 
 
-def near_duplicates(records: DataFrame, key: str = "hash", text: str = "doc", width: int = 5, threshold: float = 0.8, tables: int = 10) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "hash", text: str = "doc", width: int = 5, threshold: float = 0.8, tables: int = 16) -> tuple[DataFrame, DataFrame]:
     """Similar classes and the membership of records.
 
     Returns ``links`` ``(a, b, similarity)``, pairs of class representatives (record keys) whose distinct
@@ -157,7 +178,7 @@ def near_duplicates(records: DataFrame, key: str = "hash", text: str = "doc", wi
     Defined cases: records with a null key, and texts that are null or shorter than ``width`` words, belong
     to no class; repeated rows of a key count once; an empty table gives empty results.
     """
-    prints = cut(fingerprints(records, key, text, width, tables))
+    prints = cut(fingerprints(records, key, text, width, threshold, tables))
     keys = prints.select("key", "class").distinct()
     classes = keys.groupBy("class").agg(F.min("key").alias("representative"), F.count("*").alias("copies"))
     members = keys.join(classes, "class")
@@ -165,14 +186,14 @@ def near_duplicates(records: DataFrame, key: str = "hash", text: str = "doc", wi
     pairs = candidate_pairs(prints.where("size(variants) > 0"))
     pairs = pairs.join(reps.toDF("a", "a_key"), "a").join(reps.toDF("b", "b_key"), "b").select("a_key", "b_key")
     # The same exchange of the texts serves both joins; repeated rows of a key carry the same text.
-    once = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.first(text).alias("t"))
+    once = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(_packed, "k string, t binary").groupBy("k").agg(F.first("t").alias("t"))
     with_a = pairs.join(once.toDF("a_key", "a_text"), "a_key")
     with_both = with_a.join(once.toDF("b_key", "b_text"), "b_key").select("a_key", "b_key", "a_text", "b_text")
     links = with_both.mapInArrow(_similar(width, threshold), "a string, b string, similarity double")
     return links, members
 
 
-def near_duplicate_pairs(records: DataFrame, key: str = "hash", text: str = "doc", width: int = 5, threshold: float = 0.8, tables: int = 10) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, key: str = "hash", text: str = "doc", width: int = 5, threshold: float = 0.8, tables: int = 16) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of record keys at least ``threshold`` similar, copies included.
 
     Classes of more than 64 copies take part through their representative, to which each copy is linked.
