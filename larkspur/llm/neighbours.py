@@ -58,17 +58,20 @@ def _units(column: pa.Array) -> np.ndarray:
 
 def _best(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each row's ``k`` largest entries of at least ``floor``."""
-    mask = s >= floor
-    counts = mask.sum(1)
-    full = np.flatnonzero(counts > k)
-    rows, columns = np.empty(0, np.int64), np.empty(0, np.int64)
+    n = s.shape[1]
+    if floor < -1:
+        full, rows, columns = np.arange(len(s)), np.empty(0, np.int64), np.empty(0, np.int64)
+    else:
+        flat = np.flatnonzero(s >= floor)
+        rows, columns = np.divmod(flat, n)
+        counts = np.bincount(rows, minlength=len(s))
+        full = np.flatnonzero(counts > k)
+        if len(full):
+            few = counts[rows] <= k
+            rows, columns = rows[few], columns[few]
     if len(full):
-        top = np.argpartition(s[full] if len(full) < len(s) else s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
-        rows, columns = np.repeat(full, k), top.reshape(-1)
-        mask[full] = False
-    if len(full) < len(s):
-        more, others = np.nonzero(mask)
-        rows, columns = np.concatenate([rows, more]), np.concatenate([columns, others])
+        top = np.argpartition(s[full] if len(full) < len(s) else s, n - k, axis=1)[:, n - k :]
+        rows, columns = np.concatenate([rows, np.repeat(full, k)]), np.concatenate([columns, top.reshape(-1)])
     return rows, columns
 
 
@@ -97,7 +100,10 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
             s = v @ v.T
-            s[ids[:, None] == ids[None, :]] = -2  # the row itself and its repetitions
+            np.fill_diagonal(s, -2)
+            order = np.argsort(ids, kind="stable")
+            if (ids[order[1:]] == ids[order[:-1]]).any():  # repetitions of a row
+                s[ids[:, None] == ids[None, :]] = -2
             rows, columns = _best(s, min(k, max(1, len(ids) - 1)), max(floor, -1.5))
             return _edge_batch(ids[rows], ids[columns], s[rows, columns])
 
