@@ -1,21 +1,385 @@
-"""The core's registered queries."""
+"""The core's registered queries, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import incremental
+from .functions import chunking, scalars
+from .functions.analysis import simple_tokens
+from .operators import embedding, evaluation, expansion, fulltext, fusion, incremental, ingest, output, rerank, vectors
 from .storage import table
 
+NOW = "timestamp '2025-07-01 00:00:00'"
+TERMS, PREFIXES, PHRASE, WITHOUT = '"ranking" "summary"', "calib rank", '"the vector"', '"ranking" -calibrated -stale'
+KEY = ["query_id", "collection", "path"]
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_pending(spark, sf).select("doc_id").distinct()
 
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Active documents as the search operators take them."""
+    rows = table(spark, sf, "documents").where("active = 1 and text is not null")
+    return rows.select("collection", "path", "title", F.col("text").alias("body"), "hash")
 
-def p7_pending(spark: SparkSession, sf: str) -> DataFrame:
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored results of all lists, repeated rows once: ``query_id, list_id, kind, score_type, better, weight, collection, path, score, rank``."""
+    lists = table(spark, sf, "ranked_list").select(F.col("request_id").alias("query_id"), F.col("list_no").alias("list_id"), "kind", "score_type", "better", "weight").distinct()
+    rows = table(spark, sf, "search_result").where("score is not null and not isnan(score)").select(F.col("request_id").alias("query_id"), F.col("list_no").alias("list_id"), "collection", "path", "score").distinct()
+    return rows.join(lists, ["query_id", "list_id"])
+
+
+def side(spark: SparkSession, sf: str, score_type: str) -> DataFrame:
+    """The results of one score type per request, ranked."""
+    best = scores(spark, sf).where(F.col("score_type") == score_type).groupBy(*KEY).agg(F.max("score").alias("score"))
+    return fusion.top(best, 100)
+
+
+def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), to) for c in columns or ("score",)})
+
+
+# ---- contents and ingest --------------------------------------------------------------------------
+
+
+def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").where("text is not null")
+    return rows.groupBy(F.sha2(F.replace("text", F.lit("\r\n"), F.lit("\n")), 256).alias("text_hash")).agg(F.count("*").alias("copies"), F.min("path").alias("first_path"), F.unix_micros(F.min("created_at")).alias("created_us"))
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Stored documents, and a later scan: a tenth gone, a tenth changed, the inactive ones back."""
+    rows = table(spark, sf, "documents")
+    stored = rows.select("collection", "path", "title", "hash", "created_at", "modified_at", (F.col("active") == 1).alias("active"))
+    scanned = rows.where("doc_id % 10 <> 0").select("collection", "path", "title", F.when(F.expr("doc_id % 10 = 1"), F.reverse("hash")).otherwise(F.col("hash")).alias("hash"))
+    return stored, scanned
+
+
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    stored, scanned = _snapshots(spark, sf)
+    return ingest.diff(scanned, stored.where("active"))
+
+
+def update_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.counts(snapshot_diff(spark, sf))
+
+
+def updated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    stored, scanned = _snapshots(spark, sf)
+    rows = ingest.apply_diff(stored, scanned, F.expr(NOW))
+    return rows.select("collection", "path", "title", "hash", F.unix_micros("created_at").alias("created_us"), F.unix_micros("modified_at").alias("modified_us"), "active")
+
+
+def new_content(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("hash", F.col("text").alias("doc"))
+    stored = table(spark, sf, "content").where("substring(hash, 1, 1) < '8'")
+    return ingest.new_content(stored, rows, F.expr(NOW)).select("hash", F.length("doc").alias("n_chars"), F.unix_micros("created_at").alias("created_us"))
+
+
+def title_extract(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").where("text is not null")
+    return rows.select("doc_id", scalars.extract_title(F.replace("text", F.lit("\r\n"), F.lit("\n")), "path").alias("title"))
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "content").groupBy("hash").agg(F.min("doc").alias("doc"))
+    return chunking.chunked(rows, "hash", "doc").select("hash", "seq", "pos", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5"))
+
+
+def _active(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").withColumn("active", F.col("active") == 1)
+
+
+def unembedded(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.unembedded(_active(spark, sf), table(spark, sf, "content_vectors"))
+
+
+def unembedded_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.unembedded(_active(spark, sf), table(spark, sf, "content_vectors"), "embed-small-q8")
+
+
+def orphaned_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.orphans(_active(spark, sf), table(spark, sf, "content_vectors"))
+
+
+def kept_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "content_vectors").select("hash", "seq", "pos", "model").distinct()
+    return embedding.without(rows, orphaned_vectors(spark, sf))
+
+
+def upserted_chunk_map(spark: SparkSession, sf: str) -> DataFrame:
+    stored = table(spark, sf, "content_vectors").groupBy("hash", "seq").agg(F.max("pos").alias("pos"))
+    new = table(spark, sf, "chunk").where("hash is not null").groupBy("hash", "seq").agg(F.max(F.col("pos") + 1).alias("pos"))
+    return embedding.upserted(stored, new, ["hash", "seq"])
+
+
+def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.models import HashingEmbedder
+
+    rows = table(spark, sf, "documents").where("active = 1 and text is not null").groupBy("hash").agg(F.min("title").alias("title"), F.min("text").alias("doc"))
+    made = embedding.embed(rows.join(unembedded(spark, sf).select("hash"), "hash", "left_semi"), HashingEmbedder())
+    return made.select("hash", "seq", "pos", "model", F.size("embedding").alias("width"))
+
+
+def collection_status(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents")
+    return rows.groupBy("collection").agg(F.count("*").alias("documents"), F.sum("active").alias("active"), F.round(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / 1048576, 1).alias("mib"))
+
+
+# ---- full text ------------------------------------------------------------------------------------
+
+
+def term_df(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select(F.explode(F.array_distinct(simple_tokens(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _search(query: str, limit: int = 20, **options) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(fulltext.search(docs(spark, sf), query, limit, **options)).select("collection", "path", "score", "doc_id")
+
+    return run
+
+
+def bm25_multi_collection(spark: SparkSession, sf: str) -> DataFrame:
+    found = fulltext.matches(docs(spark, sf), fulltext.parse_query(TERMS))
+    return rounded(fulltext.per_collection(found, 5)).select("collection", "path", "score")
+
+
+def bm25_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fulltext.search(docs(spark, sf), TERMS, 20, analyzer="porter", snippets=True)).select("collection", "path", "score", "snippet")
+
+
+def batch_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Two words of each evaluation query that has them, as exact terms."""
+    rows = table(spark, sf, "eval_item").where("kind = 'query' and text is not null").select(F.col("item_id").alias("query_id"), F.filter(F.array_distinct(simple_tokens(F.col("text"))), lambda t: F.length(t) >= 6).alias("ts"))
+    phrases = rows.select("query_id", F.posexplode(F.slice("ts", 1, 2)).alias("phrase_no", "t"))
+    return phrases.select("query_id", "phrase_no", F.lit(False).alias("negated"), F.lit(False).alias("prefix"), F.array("t").alias("tokens"))
+
+
+def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fulltext.search_batch(docs(spark, sf), batch_queries(spark, sf), 10))
+
+
+# ---- vectors --------------------------------------------------------------------------------------
+
+
+def _query_vector(spark: SparkSession, sf: str) -> list[float]:
+    first = table(spark, sf, "embeddings").orderBy("vec_id").limit(1).first()
+    return [float(x) for x in first["embedding"]]
+
+
+def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(vectors.knn(table(spark, sf, "embeddings"), _query_vector(spark, sf), 10))
+
+
+def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return rounded(vectors.knn_batch(rows, asked, 10))
+
+
+def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "vectors_vec").where("hash_seq is not null and size(embedding) = 64").groupBy("hash_seq").agg(F.max("embedding").alias("embedding"))
+    return rows.select(F.regexp_replace("hash_seq", "_[^_]*$", "").alias("hash"), "embedding")
+
+
+def vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = vectors.search(chunk_vectors(spark, sf), docs(spark, sf), _query_vector(spark, sf), 20)
+    return rounded(found).select("collection", "path", "hash", "score")
+
+
+def vector_width(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "vectors_vec").groupBy(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("width")).agg(F.count("*").alias("n"))
+
+
+def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "vectors_vec").where("embedding is not null").select("hash_seq", F.transform("embedding", lambda x: x * 3).alias("e")).distinct()
+    unit = scalars.l2_normalized(F.col("e"))
+    return rows.select("hash_seq", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length2"))
+
+
+# ---- fusion ---------------------------------------------------------------------------------------
+
+
+def score_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 10))
+
+
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    good = F.when(F.col("better") == "lower", -F.col("score")).otherwise(F.col("score"))
+    best = scores(spark, sf).groupBy("list_id", "kind", "weight", *KEY).agg(F.max(good).alias("good"))
+    return best.withColumn("rank0", F.expr("row_number() over (partition by query_id, list_id order by good desc, collection, path) - 1"))
+
+
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fusion.rrf(_lists(spark, sf).where("weight > 0"), 10))
+
+
+def subquery_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    weights = F.create_map(*(F.lit(x) for pair in fusion.RRF_WEIGHTS.items() for x in pair))
+    typed = _lists(spark, sf).where("kind in ('lex', 'vec', 'hyde')").withColumn("weight", weights[F.col("kind")])
+    base = fusion.as_list(fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 20), 99, fusion.RRF_WEIGHTS["base"])
+    return rounded(fusion.rrf(typed.select(base.columns).unionByName(base), 20))
+
+
+def strong_signal_fused(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.strong_fused(fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 10))
+
+
+def strong_signal_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.strong_bm25(side(spark, sf, "bm25_norm"))
+
+
+def min_score_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fusion.at_least(fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 10), 0.5))
+
+
+def _request_texts(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "eval_item").select(F.col("item_id").alias("_i"), "text")
+    return table(spark, sf, "ranked_list").select(F.col("request_id").alias("query_id"), F.col("query_id").alias("_i")).distinct().join(items, "_i").select("query_id", "text")
+
+
+def adaptive_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fusion.adaptive_alpha(_request_texts(spark, sf), side(spark, sf, "bm25_norm"), side(spark, sf, "cosine")), "alpha")
+
+
+# ---- reranking and expansion ----------------------------------------------------------------------
+
+
+def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
+    fused = fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 20)
+    judged = side(spark, sf, "yesno").select(*KEY, F.col("score").alias("rerank"))
+    return rounded(rerank.blended(fused, judged, 10))
+
+
+def rerank_cache_split(spark: SparkSession, sf: str) -> DataFrame:
+    hashes = table(spark, sf, "documents").where("hash is not null").select("collection", "path", "hash")
+    ranked = fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 20).join(hashes, ["collection", "path"])
+    rows = rerank.keyed(ranked, _request_texts(spark, sf), "judge")
+    even = rows.where(F.substring("key", 1, 1) < "8").select("key", F.round("score", 3).alias("score"), F.expr(NOW).alias("created_at"))
+    return rerank.cache_split(rows, even).groupBy("query_id").agg(F.count("rerank").alias("hits"), F.count(F.when(F.col("rerank").isNull(), 1)).alias("misses"))
+
+
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "eval_item").where("text is not null")
+    return rows.select("item_id", scalars.cache_key(F.lit("expander"), F.col("text")).alias("expander_key"), scalars.cache_key(F.lit("judge"), F.col("text"), F.col("item_id")).alias("rerank_key"))
+
+
+def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third query gets a usable model output, every third an unusable one, the rest none."""
+    n = F.substring("item_id", -1, 1).cast("int") % 3
+    raw = F.when(n == 0, F.concat(F.lit("noise\nlex: "), F.split("text", " ")[0], F.lit("\nhyde: \nvec:  a b "))).when(n == 1, F.lit("lex: zzzz"))
+    rows = table(spark, sf, "eval_item").where("kind = 'query' and text is not null").select(F.col("item_id").alias("query_id"), "text", raw.alias("raw"))
+    return expansion.expanded(rows, "raw")
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "corpus_doc").where("text is not null")
+    title = F.coalesce("title", F.lit(""))
+    return rows.select("_id", F.md5(scalars.document_prompt(title, F.col("text"), "embeddinggemma")).alias("document"), F.md5(scalars.query_prompt(title, "bge-m3")).alias("query"), F.md5(scalars.eval_text(F.col("title"), F.col("text"))).alias("plain")).distinct()
+
+
+# ---- evaluation -----------------------------------------------------------------------------------
+
+
+def _qrels(spark: SparkSession, sf: str) -> DataFrame:
+    relevance = F.when(F.col("score") >= 0.8, 2).when(F.col("score") >= 0.5, 1).otherwise(0)
+    return side(spark, sf, "yesno").select("query_id", F.concat_ws("/", "collection", "path").alias("doc"), relevance.alias("relevance"))
+
+
+def _run(spark: SparkSession, sf: str, alpha: float) -> DataFrame:
+    fused = fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 10, alpha)
+    ranked = fused.select("query_id", F.concat_ws("/", "collection", "path").alias("doc"), "rank")
+    return evaluation.metrics(ranked, _qrels(spark, sf))
+
+
+def ndcg_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_run(spark, sf, 0.8), "ndcg", "recall")
+
+
+def mean_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluation.means(_run(spark, sf, 0.8)), "ndcg", "recall")
+
+
+def paired_t_test(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluation.paired_t(_run(spark, sf, 0.8), _run(spark, sf, 0.3)), "mean_diff", "se", "t", "low", "high")
+
+
+def tune_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluation.tuned(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), _qrels(spark, sf)), "ndcg", "recall")
+
+
+def tune_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Every weight of the judge's score at once: the grid is a column."""
+    fused = fusion.linear(side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), 20)
+    judged = side(spark, sf, "logit").select(*KEY, (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))).alias("rerank"))
+    both = fused.drop("rank").join(judged, KEY, "left").withColumn("weight", F.explode(F.array(*map(F.lit, evaluation.RERANK_WEIGHTS))))
+    score = F.when(F.col("rerank").isNotNull(), (1 - F.col("weight")) * F.col("score") + F.col("weight") * F.col("rerank")).otherwise(F.col("score"))
+    ranked = fusion.top(both.withColumn("score", score).withColumn("run", F.struct("weight", "query_id")), 10, "run")
+    ranked = ranked.select("weight", "query_id", F.concat_ws("/", "collection", "path").alias("doc"), "rank")
+    return rounded(evaluation.means(evaluation.metrics(ranked, _qrels(spark, sf), 10, ("weight",)), ("weight",)), "ndcg", "recall")
+
+
+def _feedback(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    queries = _request_texts(spark, sf)
+    texts = docs(spark, sf).select("collection", "path", F.col("body").alias("text"))
+    return queries, evaluation.feedback(side(spark, sf, "bm25_norm"), texts, queries)
+
+
+def prf_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_feedback(spark, sf)[1], "weight")
+
+
+def prf_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.feedback_queries(*_feedback(spark, sf))
+
+
+# ---- output ---------------------------------------------------------------------------------------
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "search_result").where("score is not null and not isnan(score)")
+    return rows.select("collection", "path", "title", F.round("score", 3).alias("score"), "snippet", "hash", "doc_id").distinct()
+
+
+def output_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return output.csv_lines(_results(spark, sf))
+
+
+def output_json(spark: SparkSession, sf: str) -> DataFrame:
+    return output.json_lines(_results(spark, sf).drop("score"))
+
+
+def output_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return output.markdown_lines(_results(spark, sf))
+
+
+# ---- incremental ----------------------------------------------------------------------------------
+
+
+def _pending(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.pending(table(spark, sf, "documents"), table(spark, sf, "content_vectors"), table(spark, sf, "index_run"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_pending)}
+def p7_pending(spark: SparkSession, sf: str) -> DataFrame:
+    return _pending(spark, sf).select("doc_id", "hash", F.unix_micros("modified_at").alias("modified_us"), "reread")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pending(spark, sf).select("doc_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "bm25_terms": _search(TERMS), "bm25_prefix": _search(PREFIXES), "bm25_phrase": _search(PHRASE), "bm25_not": _search(WITHOUT),
+    "bm25_title_weight": _search("ranking", title_weight=3.0), "bm25_min_score": _search("ranking", min_score=0.9), "bm25_porter": _search("rankings calibrated", analyzer="porter"),
+} | {
+    f.__name__: f
+    for f in (
+        content_dedup, snapshot_diff, update_counts, updated_documents, new_content, title_extract, chunks, unembedded, unembedded_by_model, orphaned_vectors, kept_vectors,
+        upserted_chunk_map, embed_chunks, collection_status, term_df, bm25_multi_collection, bm25_snippets, bm25_batch, knn_topk, knn_batch, vector_search, vector_width,
+        l2_normalize, score_fusion, rrf_fusion, subquery_rrf, strong_signal_fused, strong_signal_bm25, min_score_limit, adaptive_alpha, rerank_blend, rerank_cache_split,
+        cache_keys, query_expansion, prompts, ndcg_recall, mean_metrics, paired_t_test, tune_alpha, tune_rerank, prf_terms, prf_queries, output_csv, output_json,
+        output_markdown, p7_pending, p7_found,
+    )
+}
