@@ -29,9 +29,10 @@ def usable(vectors: DataFrame, key: str, vector: str, width: int) -> DataFrame:
 
     id is a 64-bit hash of the key.  Repeated rows stay; they share the id.
     """
-    square = F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) == width)).withColumn("_s", square)
-    return rows.where("_s > 0 and _s < double('infinity')").select(F.xxhash64(key).alias("id"), F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"))
+    v = F.col(vector)
+    finite = (F.array_max(v) < float("inf")) & (F.array_min(v) > float("-inf")) & ~F.exists(v, F.isnull)
+    nonzero = (F.array_max(v) > 0) | (F.array_min(v) < 0)
+    return vectors.where(F.col(key).isNotNull() & (F.size(v) == width) & finite & nonzero).select(F.xxhash64(key).alias("id"), F.col(key).alias("key"), v.cast("array<float>").alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -75,6 +76,24 @@ def _best(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     return rows, columns
 
 
+def _above(v: np.ndarray, floor: float, k: int, tile: int = 512) -> tuple[np.ndarray, ...] | None:
+    """Pairs of rows at least ``floor`` similar, each once; None where they are so many that a cut to ``k`` is due."""
+    rows, columns, sims, total = [], [], [], 0
+    for begin in range(0, len(v), tile):
+        # What lies left of the tile was compared with it before.
+        s = v[begin : begin + tile] @ v[begin:].T
+        flat = np.flatnonzero(s >= floor)
+        i, j = np.divmod(flat, s.shape[1])
+        upper = j > i
+        rows.append(i[upper] + begin)
+        columns.append(j[upper] + begin)
+        sims.append(s.reshape(-1)[flat[upper]])
+        total += len(rows[-1])
+        if total > 2 * k * len(v):
+            return None
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(sims)
+
+
 _EDGES = "src long, dst long, sim float"
 
 
@@ -99,6 +118,11 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            if floor > -1 and (few := _above(v, floor, k)) is not None:
+                rows, columns, sims = few
+                keep = ids[rows] != ids[columns]
+                a, b, sims = ids[rows[keep]], ids[columns[keep]], sims[keep]
+                return _edge_batch(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sims, sims]))
             s = v @ v.T
             np.fill_diagonal(s, -2)
             order = np.argsort(ids, kind="stable")
@@ -208,11 +232,20 @@ def _cosine(a: str, b: str):
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
 
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(np.float64) for c in batch.columns[2:])
+            cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cosine)], ["a", "b", "similarity"])
+
+
 def _scored(edges: DataFrame, points: DataFrame) -> DataFrame:
     """``(a, b, similarity)`` of keys, with the full vectors."""
+    kind = points.schema["key"].dataType.simpleString()
     a = edges.join(points.select(F.col("id").alias("src"), F.col("key").alias("a"), F.col("v").alias("va")), "src").select("dst", "a", "va")
-    both = a.join(points.select(F.col("id").alias("dst"), F.col("key").alias("b"), F.col("v").alias("vb")), "dst")
-    return both.select("a", "b", _cosine("va", "vb").alias("similarity")).where("a <> b").distinct()
+    both = a.join(points.select(F.col("id").alias("dst"), F.col("key").alias("b"), F.col("v").alias("vb")), "dst").where("a <> b")
+    return both.select("a", "b", "va", "vb").mapInArrow(_exact, f"a {kind}, b {kind}, similarity double").distinct()
 
 
 def mutual_neighbours(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, similarity: float = 0.9, among: int = 5, k: int = 24) -> DataFrame:
