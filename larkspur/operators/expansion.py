@@ -40,7 +40,7 @@ def is_valid(query: str, subs: list[SubQuery]) -> bool:
 
 def parsed(raw: Column) -> Column:
     """``parse_output`` as an expression: an array of ``(kind, text)``."""
-    lines = F.transform(F.split(raw, "\n"), F.trim)
+    lines = F.transform(F.split(raw, "\n"), lambda line: F.trim(line))
     typed = F.transform(lines, lambda line: F.struct(F.regexp_extract(line, "^(lex|vec|hyde):", 1).alias("kind"), F.trim(F.regexp_replace(line, "^(lex|vec|hyde):", "")).alias("text")))
     return F.filter(typed, lambda s: (s["kind"] != "") & (s["text"] != ""))
 

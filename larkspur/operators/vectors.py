@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from ..functions.scalars import cosine
 
 #: Most chunks one search may fetch.
 FETCH_MOST = 4096
-#: Query vectors handled by one block.
-BLOCK = 2048
+#: Query vectors of one block, and vectors of one.
+BLOCK, CELL = 2048, 65536
 
 
 def check_width(vectors: DataFrame, column: str, width: int) -> DataFrame:
@@ -33,42 +34,62 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id",
     return scored.orderBy(F.round("score", 9).desc(), key).limit(min(k, FETCH_MOST))
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _best(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores of each query's best vectors; some more than ``k``, as ties are ordered later."""
+    s = q @ v.T
+    n = min(k + 8, s.shape[1])
+    top = np.argpartition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :].reshape(-1)
+    rows = np.repeat(np.arange(len(q)), n)
+    return rows, top, s[rows, top]
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", query_key: str = "query_id", width: int = 64) -> DataFrame:
-    """``(query_key, key, score, rank)``: the ``k`` most similar vectors of each query vector, exactly.
+    """``(query_id, key, score, rank)``: the ``k`` most similar vectors of each query vector, exactly.
 
-    Queries are numbered into blocks of 2,048.  Each block meets every batch of vectors as one matrix product
-    whose best rows per query go on, so what is shuffled is small.  Blocks are sent to the executors one at
-    a time: memory stays bounded however many queries there are.
+    Up to 2,048 queries are sent to the executors and meet each batch of vectors as one matrix product; only
+    the best rows per query and batch go on.  More queries and the vectors are dealt out to cells of bounded
+    size, one product a cell, so that no task and not the driver holds a share that grows with the data.
     """
     points = check_width(vectors, column, width).select(F.col(key).alias("_k"), F.col(column).cast("array<double>").alias("_v"))
     asked = check_width(queries, column, width).select(F.col(query_key).alias("_q"), F.col(column).cast("array<double>").alias("_v"))
-    kinds = vectors.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    blocks = -(-asked.count() // BLOCK)
-    numbered = asked.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(max(blocks, 1))))
-    out = None
-    for b in range(max(blocks, 1)):
-        own = numbered.where(F.col("_b") == b).collect()  # about BLOCK rows
-        ids, matrix = [r["_q"] for r in own], np.array([r["_v"] for r in own], np.float64).reshape(len(own), width)
-        table = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))))
-
-        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+    schema = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+    few = asked.limit(BLOCK + 1).collect()
+    if len(few) <= BLOCK:
+        table = vectors.sparkSession.sparkContext.broadcast(([r["_q"] for r in few], _unit(np.array([r["_v"] for r in few], np.float64).reshape(len(few), width))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = table.value
             for batch in batches:
-                if not len(batch) or not ids:
-                    continue
-                v = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-                s = q @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T
-                best = min(k + 8, s.shape[1])  # some more, as ties are ordered later
-                top = np.argpartition(s, s.shape[1] - best, axis=1)[:, s.shape[1] - best :]
-                rows = np.repeat(np.arange(len(ids)), best)
-                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(rows)), batch.column(0).take(pa.array(top.reshape(-1))), pa.array(s[rows, top.reshape(-1)])], [query_key, key, "score"])
-
-        part = points.mapInArrow(run, f"`{query_key}` {kinds[1]}, `{key}` {kinds[0]}, score double")
-        out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("rank", F.expr(f"row_number() over (partition by `{query_key}` order by round(score, 9) desc, `{key}`)"))
+                if len(batch) and ids:
+                    rows, top, s = _best(q, _unit(batch.column(1).flatten().to_numpy().reshape(len(batch), -1)), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(rows)), batch.column(0).take(pa.array(top)), pa.array(s)], [query_key, key, "score"])
+
+        found = points.mapInArrow(scan, schema)
+    else:
+        found = _in_cells(points, asked, k, query_key, key, schema)
+    ranked = found.withColumn("rank", F.expr(f"row_number() over (partition by `{query_key}` order by round(score, 9) desc, `{key}`)"))
     return ranked.where(F.col("rank") <= k)
 
 
+def _in_cells(points: DataFrame, asked: DataFrame, k: int, query_key: str, key: str, schema: str) -> DataFrame:
+    """Each block of queries meets each block of vectors in one cell."""
+    across, down = -(-points.count() // CELL), -(-asked.count() // BLOCK)
+    v = points.withColumn("x", F.pmod(F.xxhash64("_k"), F.lit(max(across, 1)))).withColumn("y", F.explode(F.expr(f"sequence(0L, {down - 1}L)")))
+    q = asked.withColumn("y", F.pmod(F.xxhash64("_q"), F.lit(down))).withColumn("x", F.explode(F.expr(f"sequence(0L, {max(across, 1) - 1}L)")))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({query_key: [], key: [], "score": []})
+        rows, top, s = _best(_unit(np.stack(left["_v"].to_numpy())), _unit(np.stack(right["_v"].to_numpy())), k)
+        return pd.DataFrame({query_key: left["_q"].to_numpy()[rows], key: right["_k"].to_numpy()[top], "score": s})
+
+    return q.groupBy("x", "y").cogroup(v.groupBy("x", "y")).applyInPandas(cell, schema)
+
+
 def search(vectors: DataFrame, docs: DataFrame, query: Sequence[float], limit: int = 10, min_score: float | None = None) -> DataFrame:
     """Best documents by their most similar chunk: ``collection, path, title, hash, score``.
 

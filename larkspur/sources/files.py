@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,8 +100,23 @@ def read_files(spark: SparkSession, collection: str, root: str, globs: Sequence[
     paths = wanted_paths(root, globs, excludes)
     if not paths:
         return spark.createDataFrame([], "collection string, path string, title string, hash string, doc string")
-    raw = spark.read.format("binaryFile").load([os.path.join(root, p) for p in paths])
-    prefix = os.path.abspath(root).rstrip("/") + "/"
-    path = F.substring_index(F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B"))), prefix, -1)
-    rows = raw.select(F.lit(collection).alias("collection"), path.alias("path"), F.sha2("content", 256).alias("hash"), stored_text(F.col("content")).alias("doc"))
+    root = os.path.abspath(root)
+    # Spark's reader passes over names that begin with a dot or an underscore; those are read by path.
+    special = [p for p in paths if re.search(r"(^|/)[._]", os.path.join(root, p))]
+    parts = []
+    if usual := sorted(set(paths) - set(special)):
+        raw = spark.read.format("binaryFile").load([os.path.join(root, p) for p in usual])
+        path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+        parts.append(raw.select(F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path)).alias("path"), "content"))
+    if special:
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for p in batch["path"]:
+                    with open(os.path.join(root, p), "rb") as f:
+                        yield pd.DataFrame({"path": [p], "content": [f.read()]})
+
+        parts.append(spark.createDataFrame([(p,) for p in special], "path string").mapInPandas(read, "path string, content binary"))
+    raw = reduce(DataFrame.unionByName, parts)
+    rows = raw.select(F.lit(collection).alias("collection"), "path", F.sha2("content", 256).alias("hash"), stored_text(F.col("content")).alias("doc"))
     return rows.select("collection", "path", extract_title("doc", "path").alias("title"), "hash", "doc")
