@@ -110,6 +110,8 @@ def fingerprints(records: DataFrame, key: str, text: str, width: int, threshold:
 
 def _offsets(column: pa.Array) -> np.ndarray:
     """Byte offsets of a column of strings or bytes."""
+    if not len(column):
+        return np.zeros(1, np.int64)
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
