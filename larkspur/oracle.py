@@ -109,7 +109,7 @@ _DIFF = f"""with {_SNAPSHOTS}, both_sides as (
   select collection, path, s.hash as old_hash, n.hash as new_hash, s.there as s_there, n.there as n_there
   from (select *, 1 as there from stored where active) s full join (select *, 1 as there from scanned) n using (collection, path)),
 changes as (select collection, path, old_hash, new_hash, case when s_there is null then 'add' when n_there is null then 'deactivate' when old_hash is distinct from new_hash then 'update' end as action from both_sides)"""
-_RESULTS = "results as (select distinct collection, path, title, round(score, 3) as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))"
+_RESULTS = "results as (select distinct collection, path, title, round(score, 3) + 0.0 as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))"
 _COS = "list_cosine_similarity(embedding::double[], q)"
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
@@ -205,7 +205,7 @@ SQL: dict[str, str] = {
     ).replace("q(path)", "(case when regexp_matches(path, '[,\"\\n]') then '\"' || replace(path, '\"', '\"\"') || '\"' else path end)").replace(
         "q(coalesce(title, ''))", "(case when regexp_matches(coalesce(title, ''), '[,\"\\n]') then '\"' || replace(title, '\"', '\"\"') || '\"' else coalesce(title, '') end)"
     ),
-    "output_json": "select distinct to_json({'collection': collection, 'path': path, 'title': title, 'snippet': snippet, 'hash': hash, 'doc_id': doc_id})::varchar as line from (select distinct collection, path, title, round(score, 3) as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))".replace("select distinct to_json", "select to_json"),
+    "output_json": "select distinct to_json({'collection': collection, 'path': path, 'title': title, 'snippet': snippet, 'hash': hash, 'doc_id': doc_id})::varchar as line from (select distinct collection, path, title, round(score, 3) + 0.0 as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))".replace("select distinct to_json", "select to_json"),
     "output_markdown": f"with {_RESULTS} select '- [' || coalesce(title, '') || '](' || path || ') `' || printf('%.3f', score) || '` ' || doc_id || case when snippet is null then '' else chr(10) || '  > ' || replace(replace(snippet, '<b>', '**'), '</b>', '**') end as line from results",
     "p7_found": "select distinct doc_id from documents d where active = 1 and hash is not null and not exists (select 1 from content_vectors v where v.hash = d.hash and v.embedded_at is not null)",
     "p7_pending": """with last as (select max(started_at) as l from index_run where status = 'ok' and finished_at is not null),

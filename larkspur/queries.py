@@ -340,7 +340,7 @@ def prf_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "search_result").where("score is not null and not isnan(score)")
-    return rows.select("collection", "path", "title", F.round("score", 3).alias("score"), "snippet", "hash", "doc_id").distinct()
+    return rows.select("collection", "path", "title", (F.round("score", 3) + 0.0).alias("score"), "snippet", "hash", "doc_id").distinct()
 
 
 def output_csv(spark: SparkSession, sf: str) -> DataFrame:
