@@ -14,11 +14,12 @@ FRONT_MATTER = r"(?s)\A\x{FEFF}?---[ \t\r]*\n((?:.*?\n)??)---[ \t\r]*(?:\n|\z)"
 def canonical(text: Column) -> Column:
     """Letters and digits of ``text`` in one letter case, front-matter lines in sorted order.
 
-    Case is folded by lower then upper, so that both sharp s and SS, and all forms of sigma, agree.
+    Only case is taken away: a ligature or a sharp s stays another letter than its parts.  Both small sigmas
+    are one letter.
     """
 
     def fold(x: Column) -> Column:
-        return F.regexp_replace(F.upper(F.lower(x)), r"[^\p{L}\p{N}]+", "")
+        return F.regexp_replace(F.replace(F.lower(x), F.lit("ς"), F.lit("σ")), r"[^\p{L}\p{N}]+", "")
 
     head = F.regexp_extract(text, FRONT_MATTER, 0)
     lines = F.array_join(F.array_sort(F.transform(F.split(F.regexp_extract(text, FRONT_MATTER, 1), "\n"), fold)), "")

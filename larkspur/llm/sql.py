@@ -13,7 +13,7 @@ _FRONT = r"'^\x{FEFF}?---[ \t\r]*\n'"
 
 
 def _fold(x: str) -> str:
-    return f"regexp_replace(replace(upper(lower({x})), 'ß', 'SS'), {_LETTERS})"
+    return f"regexp_replace(replace(lower({x}), 'ς', 'σ'), {_LETTERS})"
 
 
 _FORMS = f"""lined as (select hash, doc, string_split(doc, chr(10)) as ls from content where hash is not null and doc is not null),
