@@ -128,18 +128,18 @@ def per_collection(found: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("_r", F.expr("row_number() over (partition by collection order by round(score, 9) desc, path)")).where(F.col("_r") <= limit).drop("_r")
 
 
-def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, analyzer: str = "simple", weights: dict[str, float] | None = None) -> DataFrame:
     """``(query_id, collection, path, score, rank)`` of many queries at once.
 
     queries: ``query_id, phrase_no, negated, prefix, tokens``, one row per phrase (see ``phrase_rows``).
     Tokens with their places become postings; phrases meet them by token, prefixes by their first letters
     cut to the same length, so each is an equi-join.  Negated phrases become an anti join.
     """
-    key = ["collection", "path"]
-    arrays = docs.select(*key, *(simple_tokens(F.col(c)).alias(f"_{c}") for c in WEIGHTS))
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), F.col(f"_{c}").alias("ts")) for c, w in WEIGHTS.items()))
+    key, weights = ["collection", "path"], WEIGHTS | (weights or {})
+    arrays = docs.select(*key, *(_tokens(F.col(c), analyzer).alias(f"_{c}") for c in weights))
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), F.col(f"_{c}").alias("ts")) for c, w in weights.items()))
     places = arrays.select(*key, F.explode(fields).alias("f")).select(*key, "f.field", "f.weight", F.posexplode("f.ts").alias("at", "token"))
-    lengths = arrays.select(*key, sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).alias("len"))
+    lengths = arrays.select(*key, sum((F.size(f"_{c}") for c in weights), F.lit(0)).alias("len"))
     stats = lengths.groupBy("collection").agg(F.count("*").alias("docs"), F.avg("len").alias("avg"))
     terms = queries.select("query_id", "phrase_no", "negated", F.size("tokens").alias("m"), "prefix", F.posexplode("tokens").alias("j", "t"))
     open_end = F.col("prefix") & (F.col("j") == F.col("m") - 1)
@@ -162,7 +162,7 @@ def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFr
     return ranked.withColumn("rank", F.expr("row_number() over (partition by query_id order by round(score, 9) desc, collection, path)")).where(F.col("rank") <= limit)
 
 
-def phrase_rows(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
+def phrase_rows(queries: DataFrame, query_id: str = "query_id", text: str = "text", analyzer: str = "simple") -> DataFrame:
     """One row per phrase of each query string; strings without a positive phrase give none."""
 
     def run(batches):
@@ -170,7 +170,7 @@ def phrase_rows(queries: DataFrame, query_id: str = "query_id", text: str = "tex
             rows = []
             for q, t in zip(batch["q"], batch["t"], strict=True):
                 try:
-                    rows += [(q, i, p.negated, p.prefix, list(p.tokens)) for i, p in enumerate(parse_query(t or ""))]
+                    rows += [(q, i, p.negated, p.prefix, list(p.tokens)) for i, p in enumerate(parse_query(t or "", analyzer))]
                 except InvalidQuery:
                     continue
             yield pd.DataFrame(rows, columns=["query_id", "phrase_no", "negated", "prefix", "tokens"])
