@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,19 +10,40 @@ from pyspark.sql import functions as F
 
 from ..errors import CollectionNotFound, EngineError
 from ..operators import embedding, ingest
-from ..operators.models import Embedder, HashingEmbedder, OverlapScorer
+from ..operators.expansion import SubQuery
+from ..operators.models import Embedder, HashingEmbedder, OverlapScorer, QueryExpander
 from ..sources.files import read_files
 from ..sources.registry import Collection, Registry
 from .pipeline import Outcome, SearchSession
 
 
+class CachedExpander:
+    """An expander whose own results are kept in a store, by model and normal query; failures aren't kept."""
+
+    def __init__(self, inner: QueryExpander, store: ingest.SnapshotStore) -> None:
+        self.inner, self.store, self.model_id = inner, store, inner.model_id
+
+    def expand_query(self, query: str) -> list[SubQuery]:
+        key = hashlib.sha256(f"{self.model_id}\0{query.strip(' ').lower()}".encode()).hexdigest()
+        known = self.store.read("expansions")
+        row = known.where(F.col("key") == key).orderBy(F.desc("created_at")).limit(1).first() if known is not None else None
+        if row is not None:
+            return [SubQuery(s["kind"], s["text"]) for s in row["subs"]]
+        subs = self.inner.expand_query(query)
+        made = self.store.spark.createDataFrame([(key, [tuple(s) for s in subs])], "key string, subs array<struct<kind: string, text: string>>")
+        self.store.commit(appended={"expansions": made.withColumn("created_at", F.current_timestamp())})
+        return subs
+
+
 class Engine:
     """One home folder: ``collections.yml`` and an index folder per collection."""
 
     def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, scorer=None, expander=None, profile: str = "generic") -> None:
         self.spark, self.home, self.profile = spark, home, profile
         self.registry = Registry(os.path.join(home, "collections.yml"))
-        self.embedder, self.scorer, self.expander = embedder or HashingEmbedder(), scorer or OverlapScorer(), expander
+        self.embedder, self.scorer = embedder or HashingEmbedder(), scorer or OverlapScorer()
+        self.caches = ingest.SnapshotStore(spark, "file://" + os.path.abspath(os.path.join(home, "caches")))
+        self.expander = CachedExpander(expander, self.caches) if expander is not None else None
 
     def store(self, name: str) -> ingest.SnapshotStore:
         return ingest.SnapshotStore(self.spark, "file://" + os.path.abspath(ingest.location(os.path.join(self.home, "index"), name)))
@@ -79,10 +101,14 @@ class Engine:
         if documents is None:
             raise EngineError("nothing is indexed")
         docs = documents.where("active").join(content.groupBy("hash").agg(F.min("doc").alias("body")), "hash").select("collection", "path", "title", "body", "hash")
-        return SearchSession(docs, chunks, content, self.embedder if chunks is not None else None, self.expander, self.scorer, profile=self.profile)
+        return SearchSession(docs, chunks, content, self.embedder if chunks is not None else None, self.expander, self.scorer, self.caches.read("scores"), profile=self.profile)
 
     def search(self, query: str, names: list[str] = (), limit: int = 10, mode: str = "hybrid", min_score: float | None = None) -> Outcome:
-        return self.session(self.registry.resolve(list(names), os.getcwd())).search(query, limit, mode, min_score)
+        session = self.session(self.registry.resolve(list(names), os.getcwd()))
+        outcome = session.search(query, limit, mode, min_score)
+        for made in session.new_scores:
+            self.caches.commit(appended={"scores": made.withColumn("created_at", F.current_timestamp())})
+        return outcome
 
     def get(self, target: str) -> str:
         """The text of ``collection/path`` or of a ``#`` id."""

@@ -35,6 +35,7 @@ class SearchSession:
         self.docs, self.chunks, self.content = docs, chunks, content
         self.embedder, self.expander, self.scorer, self.cache = embedder, expander, scorer, cache
         self.analyzer, self.profile = analyzer, profile
+        self.new_scores: list[DataFrame] = []
 
     def _one(self, found: DataFrame, limit: int) -> DataFrame:
         return fusion.top(found.select(F.lit(0).alias("query_id"), "collection", "path", "score"), limit)
@@ -66,6 +67,7 @@ class SearchSession:
         if mode in ("vector", "vec"):
             found = vectors.search(session.chunks, session.docs, session.embedder.embed_query(text).tolist(), limit, min_score)
             return Outcome(found.withColumn("doc_id", doc_id(F.col("hash"))))
+        session.new_scores = self.new_scores
         return session._hybrid(query, text, limit, min_score)
 
     def _hybrid(self, query: str, text: str, limit: int, min_score: float | None) -> Outcome:
@@ -89,8 +91,9 @@ class SearchSession:
             hashes = self.docs.select("collection", "path", "hash")
             queries = self.docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
             cache = self.cache if self.cache is not None else queries.sparkSession.createDataFrame([], "key string, score double, created_at timestamp")
-            ranked, _ = rerank.rerank(ranked.join(hashes, ["collection", "path"]), queries, self.content, cache, self.scorer, limit)
+            ranked, made = rerank.rerank(ranked.join(hashes, ["collection", "path"]), queries, self.content, cache, self.scorer, limit)
             ranked = ranked.select("query_id", "collection", "path", "score", "rank")
+            self.new_scores.append(made)
             log.append("reranked")
         return Outcome(self._described(fusion.at_least(ranked.where(F.col("rank") <= limit), min_score)), log)
 

@@ -24,9 +24,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored results of all lists, repeated rows once: ``query_id, list_id, kind, score_type, better, weight, collection, path, score, rank``."""
+    """Scored results of all lists, repeated rows as they are: ``query_id, list_id, kind, score_type, better, weight, collection, path, score, rank``."""
     lists = table(spark, sf, "ranked_list").select(F.col("request_id").alias("query_id"), F.col("list_no").alias("list_id"), "kind", "score_type", "better", "weight").distinct()
-    rows = table(spark, sf, "search_result").where("score is not null and not isnan(score)").select(F.col("request_id").alias("query_id"), F.col("list_no").alias("list_id"), "collection", "path", "score").distinct()
+    rows = table(spark, sf, "search_result").where("score is not null and not isnan(score)").select(F.col("request_id").alias("query_id"), F.col("list_no").alias("list_id"), "collection", "path", "score")
     return rows.join(lists, ["query_id", "list_id"])
 
 

@@ -8,8 +8,11 @@ import pytest
 from larkspur import cli
 from larkspur.errors import EngineError
 from larkspur.operators import evaluation
+from larkspur.operators.expansion import SubQuery
 from larkspur.operators.models import HashingEmbedder, OverlapScorer
+from larkspur.plans.engine import Engine
 from larkspur.plans.evaluate import Config, Evaluation
+from larkspur.sources.registry import Collection
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -45,6 +48,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("collection", "rm", "log", "--purge")[0] == 0 and run("collection", "ls")[1] == ""
 
 
+def test_caches(spark, tmp_path):
+    class Counting:
+        model_id, calls = "counting", 0
+
+        def expand_query(self, query):
+            self.calls += 1
+            return [SubQuery("lex", "memory"), SubQuery("vec", query)]
+
+    class CountingScorer(OverlapScorer):
+        pass
+
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    for i, text in enumerate(["memory of summer", "fire and soup", "memory fire", "garden", "train", "tables", "chairs"]):
+        (notes / f"{i}.md").write_text(f"# Note {i}\n\n{text}\n")
+    expander = Counting()
+    engine = Engine(spark, str(tmp_path / "home"), scorer=CountingScorer(), expander=expander)
+    engine.add(Collection("notes", str(notes)))
+    engine.update("notes")
+    engine.embed("notes")
+    first = [r["path"] for r in engine.search("memory garden", limit=3).results.collect()]
+    stored = engine.caches.read("scores").count()
+    assert expander.calls == 1 and stored > 0
+    assert [r["path"] for r in engine.search(" Memory Garden ", limit=3).results.collect()] == first
+    assert expander.calls == 1 and engine.caches.read("scores").count() == stored
+
+
 @pytest.fixture(scope="module")
 def run(spark):
     topics = ["rust memory safety", "garden flower bed", "train table delay", "soup bread oven"]
