@@ -123,17 +123,20 @@ def _matches(windows: Windows, words: np.ndarray, ends: np.ndarray, edits: int)
             found[d, i] = 0
         if not edits:
             continue
-        # A pair that is already exact needs no edit distance; the same words in other places still may be near.
+        # Within so few edits a word stands at most that many places off, and all but so many words are matched.
         rest = np.flatnonzero(~exact & (room >= size - edits))
-        for k in rest.tolist():
+        matched = same[rest].copy()
+        for shift in range(-edits, edits + 1):
+            if shift:
+                for j in range(size):
+                    place = at[rest] + (j + shift)
+                    matched += inside[np.clip(place, 0, len(inside) - 1)] == windows.words[begin[rest] + j]
+        for k in rest[matched >= size - edits].tolist():
             pair = (int(doc[k]), int(item[k]))
             best = found.get(pair, edits + 1)
             if best > 1:
                 mine = windows.words[begin[k] : begin[k] + size].tolist()
                 theirs = words[at[k] : at[k] + size].tolist()
-                # Shared words bound the distance from below.
-                if size - len(set(mine) & set(theirs)) - (size - len(set(mine))) > edits:
-                    continue
                 if (n := _distance(mine, theirs, best - 1)) < best:
                     found[pair] = n
     return found
