@@ -65,6 +65,7 @@ def same_look(text: str) -> str:
 
 
 _FOREIGN = re.compile("[Ͱ-֏ᴀ-ᶿἀ-῿]")
+_LOOKS = re.compile("[" + INVISIBLE + "".join(p[0] for p in f"{LOOK_ALIKE_CYRILLIC} {LOOK_ALIKE_GREEK} {LOOK_ALIKE_ARMENIAN}".split()) + "]")
 
 
 def _has_foreign(text: str) -> bool:
@@ -72,14 +73,21 @@ def _has_foreign(text: str) -> bool:
 
 
 def consistent(text: str) -> str:
-    """The comparison form: compatibility-composed, case-folded, one kind of space, nothing invisible."""
-    if text.isascii():
-        return text.casefold()
-    invisible, _, _, letters = _tables()
-    text = unicodedata.normalize("NFKC", invisible.sub("", text)).casefold()
-    if _has_foreign(text):
-        text = unicodedata.normalize("NFD", text).translate({k: v.casefold() for k, v in letters.items()})
-    return unicodedata.normalize("NFKC", text)
+    """The comparison form: compatibility-composed, case-folded, one kind of space, nothing invisible.
+
+    Look-alike letters are replaced before case is folded: a capital Greek beta looks like B, a small one not like b.
+    """
+    return folded(same_look(text))
+
+
+def folded(look: str) -> str:
+    """The comparison form of a text whose look is already mapped."""
+    if look.isascii():
+        return look.casefold()
+    form = unicodedata.normalize("NFKC", look).casefold()
+    if _LOOKS.search(form):  # folding may bring in a letter that has a Latin twin
+        form = same_look(form)
+    return unicodedata.normalize("NFKC", form)
 
 
 def _distinct(values: pa.ChunkedArray | pa.Array) -> tuple[list[str | None], pa.Array]:
@@ -94,7 +102,8 @@ def normalized(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, at = _distinct(batch.column(1))
-            both = [pa.array([None if v is None else f(v) for v in values], pa.string()).take(at) for f in (consistent, same_look)]
+            looks = [None if v is None else same_look(v) for v in values]
+            both = [pa.array(x, pa.string()).take(at) for x in ([None if v is None else folded(v) for v in looks], looks)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *both], ["key", "text", "consistent", "same_look"])
 
     kind = documents.schema[key].dataType.simpleString()
@@ -117,7 +126,7 @@ def look_keys(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
                 if not look or not look.strip():
                     forms: tuple[str | None, ...] = (None, None, None)
                 else:
-                    forms = (consistent(look), look, v)
+                    forms = (folded(look), look, v)
                 for column, form in zip(out, forms, strict=True):
                     column.append(None if form is None else digest(form.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()).take(at) for c in out)], ["key", "folded", "look", "stored"])
