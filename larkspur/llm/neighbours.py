@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 #: Rows compared with one another, and sign orders that the graph starts from.
-RUN, ORDERS = 4096, 6
+RUN, ORDERS = 4096, 8
+#: The same for whole graphs, in which also vectors that nothing is near to have their nearest.
+WIDE_RUN, WIDE_ORDERS = 8192, 16
 SIGNS = 58
 #: How far below an asked similarity the 8-bit codes may put a pair.
 CODE_ERROR = 0.02
@@ -123,13 +125,17 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
                 keep = ids[rows] != ids[columns]
                 a, b, sims = ids[rows[keep]], ids[columns[keep]], sims[keep]
                 return _edge_batch(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sims, sims]))
-            s = v @ v.T
-            np.fill_diagonal(s, -2)
-            order = np.argsort(ids, kind="stable")
-            if (ids[order[1:]] == ids[order[:-1]]).any():  # repetitions of a row
-                s[ids[:, None] == ids[None, :]] = -2
-            rows, columns = _best(s, min(k, max(1, len(ids) - 1)), max(floor, -1.5))
-            return _edge_batch(ids[rows], ids[columns], s[rows, columns])
+            n = min(k, max(1, len(ids) - 1))
+            repeated = len(np.unique(ids)) < len(ids)
+            found = []
+            for begin in range(0, len(ids), 1024):
+                s = v[begin : begin + 1024] @ v.T
+                s[np.arange(len(s)), begin + np.arange(len(s))] = -2  # the row itself
+                if repeated:
+                    s[ids[begin : begin + 1024, None] == ids[None, :]] = -2
+                rows, columns = _best(s, n, max(floor, -1.5))
+                found.append((ids[begin + rows], ids[columns], s[rows, columns]))
+            return _edge_batch(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
         ids, v, last = np.empty(0, np.int64), np.empty((0, width), np.float32), None
         for batch in batches:
@@ -193,23 +199,28 @@ def neighbour_graph(points: DataFrame, k: int, width: int, floor: float = -1.0,
     """``(src, dst, sim)``: about the ``k`` nearest points of each point (``id``, ``v``), with 8-bit similarities.
 
     Edges below ``floor`` are left out from the start.  A round joins the neighbours of each node, forward
-    and at most ``k`` backward ones, pairwise, as far as one of the two edges is new; rounds end when fewer
+    and backward ones, pairwise, as far as one of the two edges is new; rounds end when fewer
     than ``settled`` of the edges are new.
     """
     floor -= CODE_ERROR if floor > -1 else 1
-    graph = cut(_top(_start(points, width, k, floor, orders, run_rows), k).withColumn("fresh", F.lit(True)))
+    # Of the orders of a whole graph each gives a third as many edges: together they are still several times k.
+    first = k if floor > -1 else max(1, k // 3)
+    graph = cut(_top(_start(points, width, first, floor, orders, run_rows), k).withColumn("fresh", F.lit(True)))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0), _binary(_codes(_matrix(batch.column(1), width)))], ["id", "q"])
 
+    # Without a floor the nearer half of a node's edges is joined: farther ones rarely lead to anything nearer.
+    reach = k if floor > -1 else max(2, k // 2)
     codes = points.select("id", "v").mapInArrow(coded, "id long, q binary")
     size = graph.count()
     for _ in range(rounds):
         back = graph.select(F.col("dst").alias("node"), F.col("src").alias("id"), "sim", "fresh")
-        back = back.withColumn("r", F.expr("row_number() over (partition by node order by sim desc, id)")).where(F.col("r") <= k).drop("r")
-        both = graph.select(F.col("src").alias("node"), F.col("dst").alias("id"), "sim", "fresh").unionByName(back)
+        back = back.withColumn("r", F.expr("row_number() over (partition by node order by sim desc, id)")).where(F.col("r") <= reach).drop("r")
+        ahead = graph.withColumn("r", F.expr("row_number() over (partition by src order by sim desc, dst)")).where(F.col("r") <= reach)
+        both = ahead.select(F.col("src").alias("node"), F.col("dst").alias("id"), "sim", "fresh").unionByName(back)
         both = both.groupBy("node", "id").agg(F.max("fresh").alias("fresh"))
         # A node whose neighbours are all old, or that has one only, has nothing to join.
         busy = both.groupBy("node").agg(F.max("fresh").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("node")
@@ -263,19 +274,19 @@ def mutual_neighbours(vectors: DataFrame, key: str = "hash_seq", vector: str = "
     return ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.max("similarity").alias("similarity")).where("n = 2").drop("n")
 
 
-def nearest(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
     """``(key, rank, neighbour, similarity)``: the ``k`` most similar other vectors of every usable vector.
 
     The graph holds ``pool`` edges a node; the best by their 8-bit codes are scored with the full vectors.
     """
     points = usable(vectors, key, vector, width)
-    graph = neighbour_graph(points, pool, width)
+    graph = neighbour_graph(points, pool, width, orders=orders, run_rows=run_rows)
     scored = _scored(_top(graph, k + 3), points)
     ranked = scored.withColumn("rank", F.expr("row_number() over (partition by a order by similarity desc, b)")).where(F.col("rank") <= k)
     return ranked.select(F.col("a").alias("key"), "rank", F.col("b").alias("neighbour"), "similarity")
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, rounds: int = 3, entries: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, rounds: int = 3, entries: int = 1024, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
     """``(key, rank, neighbour, similarity)`` of each query, by greedy search over the neighbour graph.
 
     A search enters at the query's own node, if it is indexed, and at the nearest of at most ``entries`` fixed
@@ -283,7 +294,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector
     """
     spark = vectors.sparkSession
     points = usable(vectors, key, vector, width)
-    graph = neighbour_graph(points, pool, width)
+    graph = neighbour_graph(points, pool, width, orders=orders, run_rows=run_rows)
     asked = usable(queries, key, vector, width).select(F.col("id").alias("query"), F.col("v").alias("qv")).dropDuplicates(["query"])
     gates = points.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(entries).collect()  # a fixed number of rows
     table = spark.sparkContext.broadcast((np.array([g["id"] for g in gates], np.int64), np.array([g["v"] for g in gates], np.float32).reshape(len(gates), width)))
