@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +16,8 @@ from ..functions.analysis import simple_tokens, stemmed, stemmed_tokens
 from ..functions.scalars import doc_id
 
 K1, B = 1.2, 0.75
+#: Distinct terms of a batch of queries up to which tokens are tested before they are joined.
+MANY = 5000
 #: The searched columns and their weights.
 WEIGHTS = {"path": 10.0, "title": 1.0, "body": 1.0}
 
@@ -138,7 +140,10 @@ def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, analyzer:
     key, weights = ["collection", "path"], WEIGHTS | (weights or {})
     arrays = docs.select(*key, *(_tokens(F.col(c), analyzer).alias(f"_{c}") for c in weights))
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), F.col(f"_{c}").alias("ts")) for c, w in weights.items()))
-    places = arrays.select(*key, F.explode(fields).alias("f")).select(*key, "f.field", "f.weight", F.posexplode("f.ts").alias("at", "token"))
+    wanted = _one_of(queries)
+    placed = F.transform("f.ts", lambda t, i: F.struct(i.alias("at"), t.alias("token")))
+    kept = placed if wanted is None else F.filter(placed, lambda s: wanted(s["token"]))
+    places = arrays.select(*key, F.explode(fields).alias("f")).select(*key, "f.field", "f.weight", F.explode(kept).alias("s")).select(*key, "field", "weight", "s.at", "s.token")
     lengths = arrays.select(*key, sum((F.size(f"_{c}") for c in weights), F.lit(0)).alias("len"))
     stats = lengths.groupBy("collection").agg(F.count("*").alias("docs"), F.avg("len").alias("avg"))
     terms = queries.select("query_id", "phrase_no", "negated", F.size("tokens").alias("m"), "prefix", F.posexplode("tokens").alias("j", "t"))
@@ -162,6 +167,26 @@ def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, analyzer:
     return ranked.withColumn("rank", F.expr("row_number() over (partition by query_id order by round(score, 9) desc, collection, path)")).where(F.col("rank") <= limit)
 
 
+def _one_of(queries: DataFrame) -> Callable[[Column], Column] | None:
+    """A test whether a token can match any phrase, while the queries have few distinct terms.
+
+    It keeps all other tokens from being exploded and shuffled; with more terms than ``MANY`` the joins alone decide.
+    """
+    terms = queries.select(F.size("tokens").alias("m"), "prefix", F.posexplode("tokens").alias("j", "t"))
+    rows = terms.select((F.col("prefix") & (F.col("j") == F.col("m") - 1)).alias("open"), "t").distinct().limit(MANY + 1).collect()
+    if len(rows) > MANY:
+        return None
+    groups: dict[int, list[str]] = {}
+    for r in rows:
+        groups.setdefault(len(r["t"]) if r["open"] else 0, []).append(r["t"])
+
+    def test(token: Column) -> Column:
+        tests = [(F.substring(token, 1, n) if n else token).isin(ts) for n, ts in groups.items()]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    return test
+
+
 def phrase_rows(queries: DataFrame, query_id: str = "query_id", text: str = "text", analyzer: str = "simple") -> DataFrame:
     """One row per phrase of each query string; strings without a positive phrase give none."""
 
