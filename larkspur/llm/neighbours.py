@@ -8,6 +8,7 @@ joins until few edges change.  Vectors travel as 8-bit codes; results are scored
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,16 @@ def _edge_batch(src: np.ndarray, dst: np.ndarray, sim: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(sim, pa.float32())], ["src", "dst", "sim"])
 
 
+def _unrepeated(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without those that repeat an id and its vector."""
+    order = np.argsort(ids, kind="stable")
+    again = np.append(False, (ids[order[1:]] == ids[order[:-1]]) & (v[order[1:]] == v[order[:-1]]).all(1)) if len(ids) else np.zeros(0, bool)
+    if not again.any():
+        return ids, v
+    keep = np.sort(order[~again])
+    return ids[keep], v[keep]
+
+
 def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run_rows: int) -> DataFrame:
     """Edges to each row's nearest rows of its runs."""
 
@@ -112,11 +123,11 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
         for batch in batches:
             if not len(batch):
                 continue
-            v = _matrix(batch.column(1), width)
+            ids, v = _unrepeated(batch.column(0).to_numpy(), _matrix(batch.column(1), width))
             codes = _binary(_codes(v))
             for o in range(orders):
                 signs = (v @ planes[o] > 0) @ weights
-                yield pa.RecordBatch.from_arrays([pa.array(signs | np.int64(o) << np.int64(SIGNS)), batch.column(0), codes], ["place", "id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs | np.int64(o) << np.int64(SIGNS)), pa.array(ids), codes], ["place", "id", "q"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -137,18 +148,34 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
                 found.append((ids[begin + rows], ids[columns], s[rows, columns]))
             return _edge_batch(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
-        ids, v, last = np.empty(0, np.int64), np.empty((0, width), np.float32), None
-        for batch in batches:
-            ids = np.concatenate([ids, batch.column(1).to_numpy()])
-            v = np.concatenate([v, _units(batch.column(2)).reshape(-1, width)])
-            while len(ids) >= run_rows:
-                last = ids[:run_rows], v[:run_rows]
-                yield edges(*last)
-                ids, v = ids[run_rows:], v[run_rows:]
-        if len(ids):
-            if last is not None:  # the rest is filled up with rows before it
-                ids, v = np.concatenate([last[0][len(ids) :], ids]), np.concatenate([last[1][len(v) :], v])
-            yield edges(ids, v)
+        places, ids, v = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.float32)
+        last: tuple[np.ndarray, np.ndarray] | None = None  # the run before, of the same order
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                places = np.concatenate([places, batch.column(0).to_numpy()])
+                ids = np.concatenate([ids, batch.column(1).to_numpy()])
+                v = np.concatenate([v, _units(batch.column(2)).reshape(-1, width)])
+                # Repeated rows follow one another; they would crowd out others.
+                new = np.append(True, (places[1:] != places[:-1]) | (ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, bool)
+                places, ids, v = places[new], ids[new], v[new]
+            while len(ids):
+                # A run stays within one order: in another the same rows come again.
+                of_order = int(np.searchsorted(places >> SIGNS, places[0] >> SIGNS, "right"))
+                if of_order >= run_rows:
+                    last = ids[:run_rows], v[:run_rows]
+                    yield edges(*last)
+                    done = run_rows
+                elif of_order < len(ids) or batch is None:
+                    rest = ids[:of_order], v[:of_order]
+                    if last is not None:  # filled up with rows before it
+                        rest = tuple(np.concatenate([x[of_order:], y]) for x, y in zip(last, rest, strict=True))
+                    yield edges(*rest)
+                    last, done = None, of_order
+                else:
+                    break
+                if done < len(ids) and places[done] >> SIGNS != places[0] >> SIGNS:
+                    last = None
+                places, ids, v = places[done:], ids[done:], v[done:]
 
     placed = points.select("id", "v").mapInArrow(place, "place long, id long, q binary")
     return placed.repartitionByRange("place", "id").sortWithinPartitions("place", "id").mapInArrow(compare, _EDGES)
@@ -214,7 +241,7 @@ def neighbour_graph(points: DataFrame, k: int, width: int, floor: float = -1.0,
 
     # Without a floor the nearer half of a node's edges is joined: farther ones rarely lead to anything nearer.
     reach = k if floor > -1 else max(2, k // 2)
-    codes = points.select("id", "v").mapInArrow(coded, "id long, q binary")
+    codes = points.select("id", "v").mapInArrow(coded, "id long, q binary").groupBy("id").agg(F.first("q").alias("q"))
     size = graph.count()
     for _ in range(rounds):
         back = graph.select(F.col("dst").alias("node"), F.col("src").alias("id"), "sim", "fresh")
@@ -225,7 +252,7 @@ def neighbour_graph(points: DataFrame, k: int, width: int, floor: float = -1.0,
         # A node whose neighbours are all old, or that has one only, has nothing to join.
         busy = both.groupBy("node").agg(F.max("fresh").alias("any"), F.count("*").alias("n")).where("any and n > 1").select("node")
         worst = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst")).withColumnRenamed("src", "id")
-        near = both.join(busy, "node", "left_semi").join(worst, "id").join(codes, "id").dropDuplicates(["node", "id"])
+        near = both.join(busy, "node", "left_semi").join(worst, "id").join(codes, "id")
         more = _joined(near, k, floor, width).join(graph.select("src", "dst"), ["src", "dst"], "left_anti")
         # An edge that was there already keeps its place as an old one.
         merged = graph.select("src", "dst", "sim", F.lit(False).alias("fresh")).unionByName(more.groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("fresh", F.lit(True)))
@@ -254,8 +281,10 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(edges: DataFrame, points: DataFrame) -> DataFrame:
     """``(a, b, similarity)`` of keys, with the full vectors."""
     kind = points.schema["key"].dataType.simpleString()
-    a = edges.join(points.select(F.col("id").alias("src"), F.col("key").alias("a"), F.col("v").alias("va")), "src").select("dst", "a", "va")
-    both = a.join(points.select(F.col("id").alias("dst"), F.col("key").alias("b"), F.col("v").alias("vb")), "dst").where("a <> b")
+    # One row an id, so that a key repeated in a third of all rows doesn't multiply; both joins share the shuffle.
+    once = points.groupBy("id").agg(F.first(F.struct("key", "v")).alias("p"))
+    a = edges.join(once.select(F.col("id").alias("src"), F.col("p").alias("pa")), "src").select("dst", F.col("pa.key").alias("a"), F.col("pa.v").alias("va"))
+    both = a.join(once.select(F.col("id").alias("dst"), F.col("p").alias("pb")), "dst").select("a", F.col("pb.key").alias("b"), "va", F.col("pb.v").alias("vb")).where("a <> b")
     return both.select("a", "b", "va", "vb").mapInArrow(_exact, f"a {kind}, b {kind}, similarity double").distinct()
 
 
@@ -312,7 +341,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector
 
     own = asked.select("query", F.col("query").alias("node"), F.lit(1.0).cast("float").alias("sim"))
     reached = cut(asked.mapInArrow(enter, "query long, node long, sim float").unionByName(own).groupBy("query", "node").agg(F.max("sim").alias("sim")).withColumn("open", F.lit(True)))
-    vectors_by_id = points.select(F.col("id").alias("node"), "v")
+    vectors_by_id = points.groupBy(F.col("id").alias("node")).agg(F.first("v").alias("v"))
     for _ in range(rounds):
         steps = reached.where("open").join(graph.select(F.col("src").alias("node"), "dst"), "node").select("query", F.col("dst").alias("node")).distinct()
         steps = steps.join(reached.select("query", "node"), ["query", "node"], "left_anti")
