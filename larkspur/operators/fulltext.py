@@ -73,9 +73,12 @@ def _occurrences(tokens: Column, phrase: Phrase) -> Column:
         return F.lit(0)
     if n == 1:
         return F.size(F.filter(tokens, lambda t: equal(t, 0)))
-    room = F.size(tokens) - (n - 1)
-    starts = F.when(room > 0, F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: reduce(lambda a, b: a & b, [equal(F.element_at(tokens, i + j), j) for j in range(n)])))
+    # Tokens hold letters and digits only, so in a line of tokens a phrase is a pattern.  What follows the first
+    # token is looked at without being consumed: occurrences may overlap.  (Indexing the array inside a lambda
+    # would make the optimizer tokenize the text again for every position.)
+    line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    rest = " ".join(phrase.tokens[1:]) + ("" if phrase.prefix else " ")
+    return F.regexp_count(line, F.lit(f"(?<= ){phrase.tokens[0]}(?= {rest})"))
 
 
 def _idf(n: Column, df: Column) -> Column:

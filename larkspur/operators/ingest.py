@@ -104,9 +104,6 @@ class SnapshotStore:
 
     def wipe(self) -> None:
         """Forget all tables at once; the folders stay until they are cleaned up."""
-        self.commit({}) if not self.current() else self._forget()
-
-    def _forget(self) -> None:
         self._fs().delete(self._pointer, False)
 
 
