@@ -28,7 +28,7 @@ from .links import ALL_PAIRS_UP_TO, linked_pairs
 from .words import mixed, shingles, slices, word_hashes
 
 SYMBOLS = 4
-#: Texts of up to this many runs are fingerprinted by runs of the compared width, longer ones by longer runs.
+#: Texts of up to this many distinct runs are fingerprinted by runs of the compared width, longer ones by longer runs.
 SHORT = 64
 LONGER = 2
 #: Members of a bucket that are paired in one group; larger buckets are split into blocks of about this size.
@@ -91,7 +91,8 @@ def fingerprints(records: DataFrame, key: str, text: str, width: int, threshold:
                         new.append(i)
                 # (place among the rows, variants) by runs of the compared width and by longer ones.
                 chosen = np.array(new, np.int64)
-                runs = (at[rows + 1] - at[rows])[chosen] - width + 1
+                # Distinct runs are what similarity is over: two texts at the threshold always have one of both in common.
+                runs = np.array([len(np.unique(shingles(words[at[r] : at[r + 1]], width))) for r in rows[chosen]], np.int64)
                 made = [(chosen[ok], _variants(words, at, rows[chosen[ok]], wide, tables)) for wide, ok in ((width, runs <= SHORT), (width + LONGER, runs >= threshold * SHORT)) if ok.any()]
                 counts = np.zeros(len(rows), np.int64)
                 for places, v in made:

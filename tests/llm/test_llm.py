@@ -293,6 +293,17 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_repeat_themselves(spark):
+    data = []
+    for i in range(12):
+        text = " ".join(f"r{i}x{j}" for j in range(30))
+        data += [(f"{i:02d}-once", text), (f"{i:02d}-thrice", " ".join([text] * 3))]
+    df = spark.createDataFrame(data, "hash string, doc string")
+    want = {(f"{i:02d}-once", f"{i:02d}-thrice") for i in range(12)}
+    assert pairs(near_duplicates.near_duplicate_pairs(df, width=3, threshold=0.6)) == want  # 28 of 30 distinct runs
+    assert pairs(near_duplicates.near_duplicate_pairs(df)) == want  # 26 of 30
+
+
 def test_hot_bucket_keeps_every_pair(spark):
     prints = spark.createDataFrame([(i, [7]) for i in range(300)] + [(1000, [8]), (1001, [8])], "class long, variants array<long>")
     got = pairs(near_duplicates.candidate_pairs(prints))
