@@ -304,6 +304,18 @@ def test_near_duplicates_that_repeat_themselves(spark):
     assert pairs(near_duplicates.near_duplicate_pairs(df)) == want  # 26 of 30
 
 
+def test_near_duplicates_with_scattered_edits(spark):
+    data = []
+    for i in range(400):
+        text = [f"e{i}x{j}" for j in range(303)]
+        other = list(text)
+        for e in range(24):
+            other[6 + 12 * e] = f"f{i}x{e}"  # 229 of 373 distinct runs are in both
+        data += [(f"{i:03d}-a", " ".join(text)), (f"{i:03d}-b", " ".join(other))]
+    got = pairs(near_duplicates.near_duplicate_pairs(spark.createDataFrame(data, "hash string, doc string"), width=3, threshold=0.6))
+    assert got == {(f"{i:03d}-a", f"{i:03d}-b") for i in range(400)}
+
+
 def test_hot_bucket_keeps_every_pair(spark):
     prints = spark.createDataFrame([(i, [7]) for i in range(300)] + [(1000, [8]), (1001, [8])], "class long, variants array<long>")
     got = pairs(near_duplicates.candidate_pairs(prints))
