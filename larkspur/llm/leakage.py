@@ -1,11 +1,14 @@
-"""Evaluation texts leaking into documents: CGK embedding, bit-sampling LSH, exact verification.
-
-Every run of up to 12 words of a test item is a window.  The CGK embedding walks through a window and at
-each of its steps emits the current word and then moves on or stays, as a random bit of the step and the
-word says; windows a few edits apart thus give walks a small Hamming distance apart, and equal windows
-give equal walks.  The walk of every position of every document is computed at once with array
-operations.  Several samples of the walk's steps are hashed; a document position that shares a sample's
-hash with a window is a candidate, which is then verified word by word.
+"""Evaluation texts leaking into documents: exact windows by CGK walks, edited ones by intact pieces.
+
+Every run of up to 12 words of a test item is a window.  Exact windows are met by the CGK embedding, which
+walks through a window and at each of its steps emits the current word and then moves on or stays, as a
+random bit of the step and the word says; equal windows give equal walks.  The walk of every position of
+every document is computed at once with array operations.  Several samples of the walk's steps are hashed; a
+document position that shares a sample's hash with a window is a candidate, which is then verified word by
+word.
+
+Where edits are allowed, a window is cut into one piece more than there may be edits: whatever the edits
+are, one piece is intact.  Every place of a piece in a document is a candidate, and its edit distance decides.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mixed, word_hashes
+from .words import mixed, shingles, word_hashes
 
 WINDOW = 12
 #: Steps of a walk; at this many, nearly all walks have left the window.
@@ -26,8 +29,9 @@ STEPS = 2 * WINDOW
 SAMPLES, SAMPLED = 4, 9
 #: Item windows that may be sent to every executor (16 bytes a word each); more are worked off in rounds.
 WINDOWS_AT_ONCE = 200_000
-#: Document words worked on at a time.
+#: Document words worked on at a time, and candidates compared at a time.
 AT_ONCE = 400_000
+COMPARED = 20_000
 _FILTER_BITS = 22
 
 
@@ -55,90 +59,156 @@ def _walks(words: np.ndarray, starts: np.ndarray, limits: np.ndarray | int) -> n
     return mixed(out)
 
 
+def _sieve(hashes: np.ndarray) -> np.ndarray:
+    sieve = np.zeros(1 << _FILTER_BITS, bool)
+    sieve[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+    return np.packbits(sieve, bitorder="little")
+
+
+def _met(hashes: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``hashes``, place in ``known``) of all equal hashes; ``known`` is in order."""
+    place = hashes >> np.uint64(64 - _FILTER_BITS)
+    maybe = np.flatnonzero(sieve[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+    lo = np.searchsorted(known, hashes[maybe], "left")
+    counts = np.searchsorted(known, hashes[maybe], "right") - lo
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(maybe, counts), np.repeat(lo, counts) + within
+
+
 class Windows:
-    """The windows of all items with their hashes in order."""
+    """The windows of all items with their hashes, or for ``edits`` those of their pieces, in order."""
 
-    def __init__(self, ids: list, texts: list[str | None], window: int = WINDOW) -> None:
+    def __init__(self, ids: list, texts: list[str | None], window: int = WINDOW, edits: int = 0) -> None:
         words, at = word_hashes(texts)
         self.ids, self.sizes, self.words = ids, np.diff(at), words
         self.item = np.concatenate([np.empty(0, np.int64), *(np.full(max(1, n - window + 1), i) for i, n in enumerate(self.sizes) if n)]).astype(np.int64)
         begin = [at[i] + np.arange(max(1, n - window + 1)) for i, n in enumerate(self.sizes) if n]
         self.begin = np.concatenate([np.empty(0, np.int64), *begin]).astype(np.int64)
         self.size = np.minimum(self.sizes[self.item], window) if len(self.item) else np.empty(0, np.int64)
+        self.tables = {}
+        self.pieces = {}
         with np.errstate(over="ignore"):
+            if edits:
+                self._cut(edits)
+                return
             hashes = _walks(words, self.begin, self.size)
-        self.tables = {}
         for size in np.unique(self.size).tolist():
             rows = np.flatnonzero(self.size == size)
             per = []
             for s in range(SAMPLES):
                 order = rows[np.argsort(hashes[s][rows], kind="stable")]
-                sieve = np.zeros(1 << _FILTER_BITS, bool)
-                sieve[hashes[s][order] >> np.uint64(64 - _FILTER_BITS)] = True
-                per.append((hashes[s][order], order, np.packbits(sieve, bitorder="little")))
+                per.append((hashes[s][order], order, _sieve(hashes[s][order])))
             self.tables[size] = per
 
+    def _cut(self, edits: int) -> None:
+        """Pieces by their length: hashes in order, the window of each and its offset there."""
+        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            # Of a window of no more words than edits at least one word has to be there.
+            cuts = [size * i // (min(edits, size - 1) + 1) for i in range(min(edits, size - 1) + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                parts.setdefault(b - a, []).append((rows, a))
+        for length, own in parts.items():
+            runs = shingles(self.words, length)
+            window = np.concatenate([rows for rows, _ in own])
+            offset = np.concatenate([np.full(len(rows), a) for rows, a in own])
+            hashes = runs[self.begin[window] + offset]
+            order = np.argsort(hashes, kind="stable")
+            self.pieces[length] = hashes[order], window[order], offset[order], _sieve(hashes)
+
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, document positions, windows) that share a sample."""
         for size, per in self.tables.items():
             hashes = _walks(words, np.arange(len(words)), size)
             for s, (known, order, sieve) in enumerate(per):
-                place = hashes[s] >> np.uint64(64 - _FILTER_BITS)
-                maybe = np.flatnonzero(sieve[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                lo = np.searchsorted(known, hashes[s][maybe], "left")
-                counts = np.searchsorted(known, hashes[s][maybe], "right") - lo
-                at = np.repeat(maybe, counts)
-                within = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield size, at, order[np.repeat(lo, counts) + within]
-
-
-def _distance(x: list[int], y: list[int], most: int) -> int:
-    """Edit distance of two word lists, or ``most + 1`` when it is larger."""
-    row = list(range(len(y) + 1))
-    for i, a in enumerate(x, 1):
-        last, row[0] = row[0], i
-        for j, b in enumerate(y, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def _matches(windows: Windows, words: np.ndarray, ends: np.ndarray, edits: int) -> dict[tuple[int, int], int]:
+                at, place = _met(hashes[s], known, sieve)
+                yield size, at, order[place]
+
+    def near_candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of a piece, where its window would start, window) of every piece in the document."""
+        found = [(np.empty(0, np.int64),) * 3]
+        for length, (known, window, offset, sieve) in self.pieces.items():
+            at, place = _met(shingles(words, length), known, sieve)
+            found.append((at, at - offset[place], window[place]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _distances(windows: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Fewest edits between each window (a row of words) and any run of words in the row of ``around``."""
+    places = np.arange(around.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(windows), len(places)), np.int16)  # a run may start anywhere
+    for i in range(windows.shape[1]):
+        after = row + np.int16(1)
+        np.minimum(after[:, 1:], row[:, :-1] + (around != windows[:, i : i + 1]), out=after[:, 1:])
+        row = np.minimum.accumulate(after - places, axis=1) + places
+    return row.min(1)
+
+
+def _near_matches(windows: Windows, words: np.ndarray, ends: np.ndarray, edits: int) -> dict[tuple[int, int], int]:
     """(document, item) -> fewest edits, at most ``edits``, of a window of the item in the document."""
     found: dict[tuple[int, int], int] = {}
+    piece, at, window = windows.near_candidates(words)
+    if not len(at):
+        return found
+    begins = np.append(0, ends[:-1])
+    # Half of each hash, and no end of a document, will do to find the likely ones.
+    pad = WINDOW + edits
+    halves = np.concatenate([np.zeros(pad, np.uint32), words.astype(np.uint32), np.zeros(pad + WINDOW, np.uint32)])
+    item_halves = windows.words.astype(np.uint32)
+    for size in np.unique(windows.size[window]).tolist():
+        of_size = np.flatnonzero(windows.size[window] == size)
+        # All other words of a match are at most so many places off.
+        spread = np.arange(-edits, size + edits)
+        near_words = np.lib.stride_tricks.sliding_window_view(halves, len(spread))
+        own_words = np.lib.stride_tricks.sliding_window_view(item_halves, size)
+        likely = []
+        for lo in range(0, len(of_size), COMPARED):
+            rows = of_size[lo : lo + COMPARED]
+            around = np.ascontiguousarray(near_words[at[rows] + (pad - edits)].T)
+            mine = np.ascontiguousarray(own_words[windows.begin[window[rows]]].T)
+            there = np.zeros(len(rows), np.int8)
+            for j in range(size):
+                hit = around[j] == mine[j]
+                for s in range(1, 2 * edits + 1):
+                    hit |= around[j + s] == mine[j]
+                there += hit
+            likely.append(rows[there >= size - edits])
+        rows = np.concatenate(likely)
+        doc = np.searchsorted(ends, piece[rows], "right")
+        # Several pieces of a window at one place are one candidate.
+        order = np.lexsort((window[rows], at[rows], doc))
+        rows, doc = rows[order], doc[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (at[rows[1:]] != at[rows[:-1]]) | (window[rows[1:]] != window[rows[:-1]]))[: len(rows)]
+        rows, doc = rows[new], doc[new]
+        for lo in range(0, len(rows), COMPARED):
+            r, d = rows[lo : lo + COMPARED], doc[lo : lo + COMPARED]
+            place = at[r, None] + spread
+            inside = (place >= begins[d, None]) & (place < ends[d, None])
+            around = np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
+            n = _distances(windows.words[windows.begin[window[r], None] + np.arange(size)], around)
+            good = n <= edits
+            for d, i, e in zip(d[good].tolist(), windows.item[window[r[good]]].tolist(), n[good].tolist(), strict=True):
+                found[d, i] = min(e, found.get((d, i), e))
+    return found
+
+
+def _matches(windows: Windows, words: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], int]:
+    """(document, item) -> 0 where a window of the item is in the document."""
+    found: dict[tuple[int, int], int] = {}
     for size, at, window in windows.candidates(words):
         if not len(at):
             continue
-        doc = np.searchsorted(ends, at, "right")
-        room = ends[doc] - at
+        room = ends[np.searchsorted(ends, at, "right")] - at
         same = np.zeros(len(at), np.int64)
         begin = windows.begin[window]
         inside = np.append(words, np.zeros(size, np.uint64))
         for j in range(size):
             same += (inside[at + j] == windows.words[begin + j]) & (j < room)
-        item = windows.item[window]
         exact = same == size
-        for d, i in set(zip(doc[exact].tolist(), item[exact].tolist(), strict=True)):
+        doc = np.searchsorted(ends, at[exact], "right")
+        for d, i in set(zip(doc.tolist(), windows.item[window][exact].tolist(), strict=True)):
             found[d, i] = 0
-        if not edits:
-            continue
-        # Within so few edits a word stands at most that many places off, and all but so many words are matched.
-        rest = np.flatnonzero(~exact & (room >= size - edits))
-        matched = same[rest].copy()
-        for shift in range(-edits, edits + 1):
-            if shift:
-                for j in range(size):
-                    place = at[rest] + (j + shift)
-                    matched += inside[np.clip(place, 0, len(inside) - 1)] == windows.words[begin[rest] + j]
-        for k in rest[matched >= size - edits].tolist():
-            pair = (int(doc[k]), int(item[k]))
-            best = found.get(pair, edits + 1)
-            if best > 1:
-                mine = windows.words[begin[k] : begin[k] + size].tolist()
-                theirs = words[at[k] : at[k] + size].tolist()
-                if (n := _distance(mine, theirs, best - 1)) < best:
-                    found[pair] = n
     return found
 
 
@@ -146,16 +216,15 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """``(key, item_id, edits)``: the items whose text a document contains, fully or in part.
 
     A document leaks an item if it contains 12 consecutive words of the item's text (all of them when it has
-    fewer) with at most ``edits`` inserted, missing or replaced words.  With ``edits = 0`` the result is
-    exact: equal windows always share every sample.  With edits, a window is found if one of its samples
-    avoids them, and where an edit moves later words the walk takes the same path again; edits counts the
-    difference to the aligned window.
+    fewer) with at most ``edits`` inserted, missing or replaced words.  The result is exact: equal windows
+    always share every sample, and an edited window always has an intact piece.  edits is the least of any window
+    and place.
 
     Whole texts are read, and nothing is shuffled but repeated rows' results.  The items' windows go to every executor only while
     they are at most 200,000; more items are worked off in several passes.
 
     Defined cases: null texts, and texts without a word, contain and are contained in nothing; repeated rows
-    give one result; empty tables give an empty result.
+    give one result; of items of no more words than ``edits`` at least one word is there; empty tables give an empty result.
     """
     spark = documents.sparkSession
     rows = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
@@ -167,7 +236,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for p in range(passes):
         # Each pass collects a bounded share of the items.
         own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).orderBy("i", "t").collect()
-        table = spark.sparkContext.broadcast(Windows([r["i"] for r in own], [r["t"] for r in own]))
+        table = spark.sparkContext.broadcast(Windows([r["i"] for r in own], [r["t"] for r in own], edits=edits))
 
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             windows = table.value
@@ -185,13 +254,13 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     words, at = word_hashes(texts)
                     found: dict[tuple[int, int], int] = {}
                     with np.errstate(over="ignore"):
-                        # A very long text is cut into pieces that overlap by a window.
+                        # A very long text is cut into pieces that overlap by a window and its edits.
                         for lo in range(0, len(words), AT_ONCE):
-                            part = words[lo : lo + AT_ONCE + WINDOW - 1]
+                            part = words[lo : lo + AT_ONCE + WINDOW - 1 + edits]
                             first = int(np.searchsorted(at[1:], lo, "right"))
                             ends = np.clip(at[first + 1 :] - lo, 0, len(part))
                             ends = ends[: int(np.searchsorted(ends, len(part))) + 1]
-                            for (d, i), n in _matches(windows, part, ends, edits).items():
+                            for (d, i), n in (_near_matches(windows, part, ends, edits) if edits else _matches(windows, part, ends)).items():
                                 pair = (d + first, i)
                                 found[pair] = min(n, found.get(pair, n))
                     if found:

@@ -413,6 +413,25 @@ def test_leaks(spark):
     assert leakage.leaks(docs.limit(0), asked).count() == 0 and leakage.leaks(docs, asked.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items_with_edits(spark):
+    r = random.Random(9)
+    items, cases, filler = [], {}, [f"z{i}" for i in range(500)]
+    for size in (9, 10, 12, 14, 15):
+        for k in range(40):
+            text = [f"s{size}x{k}x{j}" for j in range(size)]
+            items.append((f"{size}-{k}", " ".join(text)))
+            for n in (1, 2):
+                out = list(text)
+                for e in range(n):
+                    at = r.randrange(1, len(out) - 1)
+                    out[at : at + r.randint(0, 1)] = [f"new{e}"] * r.randint(0, 1)
+                cases[f"{size}-{k}-{n}"] = r.choices(filler, k=r.randint(0, 20)) + out + r.choices(filler, k=r.randint(0, 20))
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in cases.items()], "doc_id string, text string")
+    got = leakage.leaks(docs, spark.createDataFrame(items, "item_id string, text string"), edits=2).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k.rsplit("-", 1)[0]) for k in cases}
+    assert all(r["edits"] <= int(r["doc_id"][-1]) for r in got)
+
+
 # ---- 10
 
 
