@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .links import linked_pairs
+from .links import all_pairs
 
 #: Front matter: a first line ``---`` (a byte-order mark or trailing blanks don't matter) up to the next line ``---``.
 FRONT_MATTER = r"(?s)\A\x{FEFF}?---[ \t\r]*\n((?:.*?\n)??)---[ \t\r]*(?:\n|\z)"
@@ -51,4 +51,4 @@ def formatting_groups(content: DataFrame, key: str = "hash", text: str = "doc")
 
 def formatting_pairs(content: DataFrame, key: str = "hash", text: str = "doc") -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of keys whose texts have the same canonical form."""
-    return linked_pairs(formatting_keys(content, key, text), ["form", "check"], "key")
+    return all_pairs(formatting_keys(content, key, text), ["form", "check"], "key")

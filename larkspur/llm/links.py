@@ -1,4 +1,4 @@
-"""Pairs of rows that share a group key, without a quadratic blow-up for hot groups."""
+"""Pairs of rows that share a group key: all of them in bounded blocks, or links that stay linear for hot groups."""
 
 from __future__ import annotations
 
@@ -7,6 +7,26 @@ from pyspark.sql import functions as F
 
 #: Groups up to this size come out as all their pairs; larger ones as one link per member.
 ALL_PAIRS_UP_TO = 64
+#: Items of a group that are paired in one block; larger groups are split into blocks of about this size.
+BLOCK = 64
+
+
+def all_pairs(rows: DataFrame, group: list[str], item: str, variant: str | None = None) -> DataFrame:
+    """Distinct pairs ``(a, b)`` with ``a < b`` of all items that share ``group`` and differ in ``variant``.
+
+    rows: one row per item; ``variant`` as in ``linked_pairs``.  No pair of a group is left out, however
+    large it is: the items of a large group are spread over salted blocks, and every two blocks are paired in a
+    cell of bounded size, so that no task gathers the group.  Null group keys give nothing.
+    """
+    rows = rows.select(*group, F.col(item).alias("_item"), F.col(variant or item).alias("_variant"))
+    stats = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_variant").alias("_lo"), F.max("_variant").alias("_hi")).where("_n > 1 and _lo <> _hi")
+    members = rows.join(stats.select(*group, F.expr(f"cast(ceil(_n / {BLOCK}) as int)").alias("_blocks")), group)
+    members = members.withColumn("_own", F.expr("cast(pmod(xxhash64(_item), _blocks) as int)"))
+    spread = members.select(*group, "_item", "_variant", "_own", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other"))
+    cells = spread.groupBy(*group, F.least("_own", "_other").alias("_from"), F.greatest("_own", "_other").alias("_to")).agg(F.array_sort(F.collect_list(F.struct("_item", "_variant", "_own"))).alias("_xs")).where("size(_xs) > 1")
+    left = cells.select("_from", "_to", "_xs", F.posexplode("_xs").alias("_i", "_a"))
+    pairs = left.select("_from", "_to", "_a", F.explode(F.expr("slice(_xs, _i + 2, size(_xs))")).alias("_b")).where("(_from = _to or _a._own <> _b._own) and _a._variant <> _b._variant and _a._item <> _b._item")
+    return pairs.select(F.col("_a._item").alias("a"), F.col("_b._item").alias("b")).distinct()
 
 
 def linked_pairs(rows: DataFrame, group: list[str], item: str, variant: str | None = None, all_pairs_up_to: int = ALL_PAIRS_UP_TO) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .links import ALL_PAIRS_UP_TO, linked_pairs
+from .links import all_pairs
 from .words import mixed, shingles, slices, word_hashes
 
 SYMBOLS = 4
@@ -190,14 +190,11 @@ def near_duplicates(records: DataFrame, key: str = "hash", text: str = "doc", wi
 
 
 def near_duplicate_pairs(records: DataFrame, key: str = "hash", text: str = "doc", width: int = 5, threshold: float = 0.8, tables: int = 16) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of record keys at least ``threshold`` similar, copies included.
-
-    Classes of more than 64 copies take part through their representative, to which each copy is linked.
-    """
+    """Pairs ``(a, b)``, ``a < b``, of record keys at least ``threshold`` similar, copies included."""
     links, members = near_duplicates(records, key, text, width, threshold, tables)
-    own = linked_pairs(members, ["class"], "key")
-    few = members.where((F.col("copies") <= ALL_PAIRS_UP_TO) | (F.col("key") == F.col("representative"))).select("representative", "key")
-    across = links.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = all_pairs(members, ["class"], "key")
+    every = members.select("representative", "key")
+    across = links.join(every.toDF("a", "x"), "a").join(every.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return own.unionByName(across)
 
 

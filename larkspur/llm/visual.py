@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .links import linked_pairs
+from .links import all_pairs
 
 # Code points without any visible shape (default-ignorable ones).
 INVISIBLE = (
@@ -140,4 +140,4 @@ def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     Rows meet in the comparison form; within it the same look, which keeps letter case, decides.
     """
-    return linked_pairs(look_keys(documents, key, text).distinct(), ["folded", "look"], "key", "stored")
+    return all_pairs(look_keys(documents, key, text).distinct(), ["folded", "look"], "key", "stored")

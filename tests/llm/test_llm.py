@@ -48,6 +48,16 @@ def test_links_of_hot_groups_stay_linear_and_connected(spark):
     assert links.linked_pairs(spark.createDataFrame([], "g string, item long"), ["g"], "item").count() == 0
 
 
+def test_hot_groups_give_every_pair(spark):
+    same = spark.createDataFrame([(f"h{i:03d}", "Text" + " " * i + "one") for i in range(200)], "hash string, doc string")
+    assert pairs(formatting.formatting_pairs(same)) == set(itertools.combinations([f"h{i:03d}" for i in range(200)], 2))
+    texts = ["a flow"] * 63 + ["\u0430 flow", "a \ufb02ow"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pairs(visual.same_look_pairs(docs)) == {(a, b) for a, b in itertools.combinations(range(65), 2) if texts[a] != texts[b]}
+    near = spark.createDataFrame([(f"{i:02d}", "a b c d e f g h" + "." * i) for i in range(70)] + [("x", "a b c d e f g h i")], "hash string, doc string")
+    assert pairs(near_duplicates.near_duplicate_pairs(near, width=3, threshold=0.6)) == set(itertools.combinations([*(f"{i:02d}" for i in range(70)), "x"], 2))
+
+
 # ---- 1
 
 
