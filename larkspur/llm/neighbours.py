@@ -9,6 +9,7 @@ joins until few edges change.  Vectors travel as 8-bit codes; results are scored
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ RUN, ORDERS = 4096, 8
 #: The same for whole graphs, in which also vectors that nothing is near to have their nearest.
 WIDE_RUN, WIDE_ORDERS = 8192, 16
 SIGNS = 58
+#: Chance that two rows of the least similarity that counts share a run of some order, whatever the number of rows, and that
+#: similarity for graphs without a floor (about the median of the nearest of random vectors 64 wide).
+MEET, WIDE_SIMILARITY = 0.99, 0.5
 #: How far below an asked similarity the 8-bit codes may put a pair.
 CODE_ERROR = 0.02
 
@@ -114,12 +118,26 @@ def _unrepeated(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[keep], v[keep]
 
 
+def needed_orders(rows: int, run_rows: int, similarity: float, least: int) -> int:
+    """Orders, at least ``least``, with which two rows that similar share a run with the chance ``MEET``.
+
+    A run is cut off by about log2(rows / run_rows) signs, and a sign parts two rows in proportion to their angle.
+    """
+    signs = max(0.0, math.log2(max(1, rows) / run_rows))
+    together = (1 - math.acos(min(1.0, max(-1.0, similarity))) / math.pi) ** signs
+    if together >= MEET:
+        return least
+    return max(least, math.ceil(math.log(1 - MEET) / math.log1p(-together)))
+
+
 def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run_rows: int) -> DataFrame:
     """Edges to each row's nearest rows of its runs."""
+    # Order and signs share 63 bits.
+    bits = min(SIGNS, 63 - (orders - 1).bit_length())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(64).standard_normal((orders, width, SIGNS), np.float32)
-        weights = np.left_shift(np.int64(1), np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
+        planes = np.random.default_rng(64).standard_normal((orders, width, SIGNS), np.float32)[:, :, :bits]
+        weights = np.left_shift(np.int64(1), np.arange(bits - 1, -1, -1, dtype=np.int64))
         for batch in batches:
             if not len(batch):
                 continue
@@ -127,7 +145,7 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
             codes = _binary(_codes(v))
             for o in range(orders):
                 signs = (v @ planes[o] > 0) @ weights
-                yield pa.RecordBatch.from_arrays([pa.array(signs | np.int64(o) << np.int64(SIGNS)), pa.array(ids), codes], ["place", "id", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs | np.int64(o) << np.int64(bits)), pa.array(ids), codes], ["place", "id", "q"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -160,7 +178,7 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
                 places, ids, v = places[new], ids[new], v[new]
             while len(ids):
                 # A run stays within one order: in another the same rows come again.
-                of_order = int(np.searchsorted(places >> SIGNS, places[0] >> SIGNS, "right"))
+                of_order = int(np.searchsorted(places >> bits, places[0] >> bits, "right"))
                 if of_order >= run_rows:
                     last = ids[:run_rows], v[:run_rows]
                     yield edges(*last)
@@ -173,7 +191,7 @@ def _start(points: DataFrame, width: int, k: int, floor: float, orders: int, run
                     last, done = None, of_order
                 else:
                     break
-                if done < len(ids) and places[done] >> SIGNS != places[0] >> SIGNS:
+                if done < len(ids) and places[done] >> bits != places[0] >> bits:
                     last = None
                 places, ids, v = places[done:], ids[done:], v[done:]
 
@@ -225,10 +243,12 @@ def _joined(near: DataFrame, k: int, floor: float, width: int) -> DataFrame:
 def neighbour_graph(points: DataFrame, k: int, width: int, floor: float = -1.0, orders: int = ORDERS, rounds: int = 4, run_rows: int = RUN, settled: float = 0.002) -> DataFrame:
     """``(src, dst, sim)``: about the ``k`` nearest points of each point (``id``, ``v``), with 8-bit similarities.
 
-    Edges below ``floor`` are left out from the start.  A round joins the neighbours of each node, forward
+    Edges below ``floor`` are left out from the start.  It starts from ``orders`` orders, or as many more as the
+    number of points needs.  A round joins the neighbours of each node, forward
     and backward ones, pairwise, as far as one of the two edges is new; rounds end when fewer
     than ``settled`` of the edges are new.
     """
+    orders = needed_orders(points.count(), run_rows, floor if floor > -1 else WIDE_SIMILARITY, orders)
     floor -= CODE_ERROR if floor > -1 else 1
     # Of the orders of a whole graph each gives a third as many edges: together they are still several times k.
     first = k if floor > -1 else max(1, k // 3)

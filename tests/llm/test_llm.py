@@ -133,6 +133,16 @@ def test_neighbours(spark):
     assert neighbours.mutual_neighbours(df.limit(0)).count() == 0 and neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_start_grows_with_the_rows(spark):
+    v = vectors(2000, near=0, seed=5)
+    for i in range(0, 400, 2):  # pairs at 0.5
+        r = v[i + 1] - (v[i] @ v[i + 1]) * v[i]
+        v[i + 1] = 0.5 * v[i] + 0.75**0.5 * r / np.linalg.norm(r)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    edges = {(r["src"], r["dst"]) for r in neighbours.neighbour_graph(points, 200, 64, orders=2, rounds=0, run_rows=100).collect()}
+    assert sum((i, i + 1) in edges for i in range(0, 400, 2)) >= 0.95 * 200
+
+
 def test_many_equal_vectors_stay_bounded(spark):
     v = vectors(40, near=3)
     data = [(f"same{i:04d}", v[0].tolist()) for i in range(600)] + [(f"k{i}", x.tolist()) for i, x in enumerate(v[10:])]
