@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .links import all_pairs
 
 #: Rows compared with one another, and sign orders that the graph starts from.
 RUN, ORDERS = 4096, 8
@@ -311,16 +312,25 @@ def _scored(edges: DataFrame, points: DataFrame) -> DataFrame:
 def mutual_neighbours(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, similarity: float = 0.9, among: int = 5, k: int = 24) -> DataFrame:
     """Pairs ``(a, b, similarity)``, ``a < b``, at least that similar and each among the other's ``among`` nearest.
 
-    The graph's edges are those the similarity asks for, so it is built with that floor.  Null, zero, other-width
+    The graph's edges are those the similarity asks for, so it is built with that floor.  Keys with equal vectors
+    are one node, and all of them count.  Null, zero, other-width
     and not finite vectors take no part; repeated rows of a key count once; equal similarities share the rank.
     """
-    points = usable(vectors, key, vector, width)
-    graph = neighbour_graph(points, k, width, similarity)
+    points = usable(vectors, key, vector, width).withColumn("id", F.xxhash64("v"))
+    members = points.groupBy("key").agg(F.min("id").alias("id"))
+    copies = members.groupBy("id").agg(F.count("*").alias("copies"))
+    nodes = points.select("id", F.col("id").alias("key"), "v")
+    graph = neighbour_graph(nodes, k, width, similarity)
     pairs = graph.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    scored = _scored(pairs, points).where(F.col("similarity") >= similarity)
-    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    ranked = both.withColumn("r", F.expr("rank() over (partition by a order by similarity desc)")).where(F.col("r") <= among)
-    return ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.max("similarity").alias("similarity")).where("n = 2").drop("n")
+    scored = _scored(pairs, nodes).where(F.col("similarity") >= similarity)
+    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).join(copies.withColumnRenamed("id", "b"), "b")
+    # The other copies of a node come before all else.
+    own = copies.where("copies > 1").select(F.col("id").alias("b"), F.col("id").alias("a"), F.lit(1.0).alias("similarity"), F.expr("copies - 1").alias("copies"))
+    counted = both.select(own.columns).unionByName(own).withColumn("upto", F.expr("sum(copies) over (partition by a order by similarity desc range between unbounded preceding and current row)"))
+    ranked = counted.withColumn("r", F.expr("1 + upto - sum(copies) over (partition by a, similarity)")).where((F.col("r") <= among) & (F.col("a") != F.col("b")))
+    mutual = ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.max("similarity").alias("similarity")).where("n = 2").drop("n")
+    across = mutual.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return across.unionByName(all_pairs(members, ["id"], "key").withColumn("similarity", F.lit(1.0)))
 
 
 def nearest(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:

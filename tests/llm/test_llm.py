@@ -133,6 +133,14 @@ def test_neighbours(spark):
     assert neighbours.mutual_neighbours(df.limit(0)).count() == 0 and neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_pairs_of_many_equal_vectors(spark):
+    v = vectors(40, near=0)
+    near = v[1] + 0.02 * v[2]
+    data = [(f"same{i:03d}", v[0].tolist()) for i in range(80)] + [("close", (v[0] + 0.02 * v[3]).tolist()), ("one", v[1].tolist()), ("two", v[1].tolist()), ("near", near.tolist())]
+    got = {(r["a"], r["b"]) for r in neighbours.mutual_neighbours(spark.createDataFrame(data + data[:9], "hash_seq string, embedding array<float>")).collect()}
+    assert got == set(itertools.combinations([f"same{i:03d}" for i in range(80)], 2)) | {("one", "two"), ("near", "one"), ("near", "two")}
+
+
 def test_start_grows_with_the_rows(spark):
     v = vectors(2000, near=0, seed=5)
     for i in range(0, 400, 2):  # pairs at 0.5
