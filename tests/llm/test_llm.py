@@ -345,11 +345,43 @@ def test_near_duplicates_with_scattered_edits(spark):
 
 
 def test_hot_bucket_keeps_every_pair(spark):
-    prints = spark.createDataFrame([(i, [7]) for i in range(300)] + [(1000, [8]), (1001, [8])], "class long, variants array<long>")
-    got = pairs(near_duplicates.candidate_pairs(prints))
+    prints = spark.createDataFrame([(i, 0, [7]) for i in range(300)] + [(1000, 5, [8]), (1001, 5, [8]), (1001, 5, [8])], "class long, sketch long, variants array<long>")
+    got = pairs(near_duplicates.candidate_pairs(prints, 0.6))
     assert got == set(itertools.combinations(range(300), 2)) | {(1000, 1001)}
 
 
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_hot_bucket_is_paired_in_blocks(spark, tasks):
+    """A bucket of several blocks, salted where a task sees much of it and met whole where none does."""
+    rng = np.random.default_rng(8)
+    sketches = rng.integers(-(1 << 63), 1 << 63, 7000) & ~255
+    sketches[6900:] = sketches[:100]
+    prints = spark.createDataFrame([(i, int(x), [7, 100 + i]) for i, x in enumerate(sketches)], "class long, sketch long, variants array<long>").repartition(tasks)
+    got = pairs(near_duplicates.candidate_pairs(prints, 0.9))
+    most = near_duplicates._most_differing(near_duplicates.SKETCHED, 2, 0.9)
+    close = near_duplicates._alike(sketches.view(np.uint64)[:, None], sketches.view(np.uint64)[None, :], most, 0)
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True) if i < j}
+    assert {(i, 6900 + i) for i in range(100)} <= got
+
+
+def test_sketches_lose_few_pairs():
+    rng = np.random.default_rng(3)
+    lost = 0
+    for _ in range(300):
+        words_ = rng.integers(1 << 63, size=280, dtype=np.uint64)
+        # 208 of 348 runs are shared
+        other = np.append(words_[70:], rng.integers(1 << 63, size=70, dtype=np.uint64))
+        both, at = np.concatenate([words_, other]), np.array([0, 280, 560])
+        with np.errstate(over="ignore"):
+            symbols = near_duplicates._symbols(both, at, np.arange(2), 3, 12)
+        short, long = near_duplicates._sketches(symbols, np.array([278, 278]))
+        most = near_duplicates._most_differing(near_duplicates.SKETCHED, 2, 0.6)
+        lost += not near_duplicates._alike(short[:1], short[1:], most, 10)[0]
+        lost += (long[0] != long[1]).sum() > near_duplicates._most_differing(48, 8, 0.6)
+    assert lost <= 1
+    assert near_duplicates._most_differing(48, 8, 0.6) < 40  # and they do drop pairs
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(0, 60)] + [(f"{a:03d}", f"{b:03d}") for a, b in (r.sample(range(100, 200), 2) for _ in range(70))] + [("x", "x")]
