@@ -19,3 +19,7 @@ class CollectionExists(EngineError):
 
 class InvalidName(EngineError):
     """Not usable as the name of a collection."""
+
+
+class Conflict(EngineError):
+    """Another writer has changed the index since it was read."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -81,7 +81,7 @@ def _occurrences(tokens: Column, phrase: Phrase) -> Column:
     return F.regexp_count(line, F.lit(f"(?<= ){phrase.tokens[0]}(?= {rest})"))
 
 
-def _idf(n: Column, df: Column) -> Column:
+def idf(n: Column, df: Column) -> Column:
     value = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(value > 0, value).otherwise(F.lit(1e-6))
 
@@ -110,7 +110,7 @@ def matches(docs: DataFrame, phrases: Sequence[Phrase], analyzer: str = "simple"
     keep = reduce(lambda a, b: a & b, [(F.col(f"_n{i}") == 0) if p.negated else (F.col(f"_n{i}") > 0) for i, p in enumerate(phrases)])
     hits = rows.where(keep).join(stats, "collection")
     norm = K1 * (F.lit(1 - B) + B * F.col("_len") / F.col("_avg"))
-    raw = sum((_idf(F.col("_docs"), F.col(f"_df{k}")) * F.col(f"_f{k}") * (K1 + 1) / (F.col(f"_f{k}") + norm) for k in range(len(wanted))), F.lit(0.0))
+    raw = sum((idf(F.col("_docs"), F.col(f"_df{k}")) * F.col(f"_f{k}") * (K1 + 1) / (F.col(f"_f{k}") + norm) for k in range(len(wanted))), F.lit(0.0))
     return hits.select("collection", "path", "title", "hash", normalized(raw).alias("score"))
 
 
@@ -133,63 +133,6 @@ def per_collection(found: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("_r", F.expr("row_number() over (partition by collection order by round(score, 9) desc, path)")).where(F.col("_r") <= limit).drop("_r")
 
 
-def search_batch(docs: DataFrame, queries: DataFrame, limit: int = 10, analyzer: str = "simple", weights: dict[str, float] | None = None) -> DataFrame:
-    """``(query_id, collection, path, score, rank)`` of many queries at once.
-
-    queries: ``query_id, phrase_no, negated, prefix, tokens``, one row per phrase (see ``phrase_rows``).
-    Tokens with their places become postings; phrases meet them by token, prefixes by their first letters
-    cut to the same length, so each is an equi-join.  Negated phrases become an anti join.
-    """
-    key, weights = ["collection", "path"], WEIGHTS | (weights or {})
-    arrays = docs.select(*key, *(_tokens(F.col(c), analyzer).alias(f"_{c}") for c in weights))
-    fields = F.array(*(F.struct(F.lit(c).alias("field"), F.lit(w).alias("weight"), F.col(f"_{c}").alias("ts")) for c, w in weights.items()))
-    wanted = _one_of(queries)
-    placed = F.transform("f.ts", lambda t, i: F.struct(i.alias("at"), t.alias("token")))
-    kept = placed if wanted is None else F.filter(placed, lambda s: wanted(s["token"]))
-    places = arrays.select(*key, F.explode(fields).alias("f")).select(*key, "f.field", "f.weight", F.explode(kept).alias("s")).select(*key, "field", "weight", "s.at", "s.token")
-    lengths = arrays.select(*key, sum((F.size(f"_{c}") for c in weights), F.lit(0)).alias("len"))
-    stats = lengths.groupBy("collection").agg(F.count("*").alias("docs"), F.avg("len").alias("avg"))
-    terms = queries.select("query_id", "phrase_no", "negated", F.size("tokens").alias("m"), "prefix", F.posexplode("tokens").alias("j", "t"))
-    open_end = F.col("prefix") & (F.col("j") == F.col("m") - 1)
-    exact = terms.where(~open_end).withColumnRenamed("t", "token")
-    started = terms.where(open_end).withColumn("size", F.length("t"))
-    sizes = started.select("size").distinct().agg(F.sort_array(F.collect_set("size")).alias("sizes"))  # a few lengths of words
-    met = places.join(exact, "token").select(*key, "field", "weight", "query_id", "phrase_no", "negated", "m", (F.col("at") - F.col("j")).alias("start"), "j")
-    heads = places.join(F.broadcast(sizes)).select(*key, "field", "weight", "at", "token", F.explode("sizes").alias("size")).where(F.length("token") >= F.col("size")).withColumn("t", F.expr("substring(token, 1, size)"))
-    begun = heads.join(started.drop("prefix"), ["t", "size"]).select(*key, "field", "weight", "query_id", "phrase_no", "negated", "m", (F.col("at") - F.col("j")).alias("start"), "j")
-    whole = met.unionByName(begun).groupBy(*key, "field", "weight", "query_id", "phrase_no", "negated", "m", "start").agg(F.countDistinct("j").alias("js")).where(F.col("js") == F.col("m"))
-    per_phrase = whole.groupBy(*key, "query_id", "phrase_no", "negated").agg(F.sum("weight").alias("f"))
-    df = per_phrase.where(~F.col("negated")).groupBy("collection", "query_id", "phrase_no").agg(F.count("*").alias("df"))
-    needed = queries.where(~F.col("negated")).groupBy("query_id").agg(F.countDistinct("phrase_no").alias("needed"))
-    part = per_phrase.where(~F.col("negated")).join(df, ["collection", "query_id", "phrase_no"]).join(stats, "collection").join(lengths, key)
-    norm = K1 * (F.lit(1 - B) + B * F.col("len") / F.col("avg"))
-    scored = part.withColumn("s", _idf(F.col("docs"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + norm))
-    total = scored.groupBy("query_id", *key).agg(F.sum("s").alias("raw"), F.count("*").alias("n")).join(needed, "query_id").where("n = needed")
-    total = total.join(per_phrase.where("negated").select("query_id", *key), ["query_id", *key], "left_anti")
-    ranked = total.select("query_id", *key, normalized(F.col("raw")).alias("score"))
-    return ranked.withColumn("rank", F.expr("row_number() over (partition by query_id order by round(score, 9) desc, collection, path)")).where(F.col("rank") <= limit)
-
-
-def _one_of(queries: DataFrame) -> Callable[[Column], Column] | None:
-    """A test whether a token can match any phrase, while the queries have few distinct terms.
-
-    It keeps all other tokens from being exploded and shuffled; with more terms than ``MANY`` the joins alone decide.
-    """
-    terms = queries.select(F.size("tokens").alias("m"), "prefix", F.posexplode("tokens").alias("j", "t"))
-    rows = terms.select((F.col("prefix") & (F.col("j") == F.col("m") - 1)).alias("open"), "t").distinct().limit(MANY + 1).collect()
-    if len(rows) > MANY:
-        return None
-    groups: dict[int, list[str]] = {}
-    for r in rows:
-        groups.setdefault(len(r["t"]) if r["open"] else 0, []).append(r["t"])
-
-    def test(token: Column) -> Column:
-        tests = [(F.substring(token, 1, n) if n else token).isin(ts) for n, ts in groups.items()]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-    return test
-
-
 def phrase_rows(queries: DataFrame, query_id: str = "query_id", text: str = "text", analyzer: str = "simple") -> DataFrame:
     """One row per phrase of each query string; strings without a positive phrase give none."""
 

@@ -40,6 +40,21 @@ def rrf(lists: DataFrame, limit: int, k: float = RRF_K) -> DataFrame:
     return top(lists.groupBy(*KEY).agg(F.sum(F.col("weight") / (k + F.col("rank0") + 1) + bonus).alias("score")), limit)
 
 
+def pooled(lists: DataFrame, bm25: DataFrame, vector: DataFrame, weights: dict[str, float], limit: int, alpha: float | Column = ALPHA) -> DataFrame:
+    """``linear`` of two pools of weighted sub-query scores, a document's best of a pool counting.
+
+    lists: ``query_id, kind, collection, path, score``; lex goes into the full-text pool, vec and hyde into the other.  A query
+    without sub-query results of a side uses its own list there.
+    """
+    worth = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("kind")]
+    rows = lists.select(*KEY, "kind", (F.col("score") * worth).alias("score"))
+    sides = []
+    for plain, kinds in ((bm25, ("lex",)), (vector, ("vec", "hyde"))):
+        pool = rows.where(F.col("kind").isin(*kinds)).drop("kind")
+        sides.append(pool.unionByName(plain.select(*KEY, "score").join(pool.select("query_id").distinct(), "query_id", "left_anti")))
+    return linear(*sides, limit, alpha)
+
+
 def as_list(ranked: DataFrame, list_id: int, weight: float) -> DataFrame:
     """A ranked result (``rank`` from 1) as a list for ``rrf``."""
     return ranked.select(*KEY, F.lit(list_id).alias("list_id"), F.lit(weight).alias("weight"), (F.col("rank") - 1).alias("rank0"))

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import Conflict
+from ..storage import cut
+
 KEY = ["collection", "path"]
+_STATE = re.compile(r"state-(\d+)\.json\Z")
 
 
 def diff(scanned: DataFrame, stored: DataFrame) -> DataFrame:
@@ -55,29 +62,36 @@ def new_content(content: DataFrame, scanned: DataFrame, now) -> DataFrame:
 
 
 class SnapshotStore:
-    """Tables of one index as immutable snapshot folders and one pointer file.
+    """Tables of one index as immutable folders, and a numbered state file for each commit.
 
-    A writer fills new folders and then replaces the pointer in one rename: readers see all of an update or
-    nothing of it, and a failed writer leaves the old state.
+    A writer fills new folders and then makes the next state file in one rename that fails where the file exists: readers
+    see all of an update or nothing of it, a failed writer leaves the old state, and of two writers one gets a ``Conflict``.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
-    @property
-    def _pointer(self):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current.json")
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _fs(self):
-        return self._pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self) -> dict[str, list[str]]:
+    def version(self) -> int:
+        """Number of the last commit, 0 for none."""
         fs = self._fs()
-        if not fs.exists(self._pointer):
+        if not fs.exists(self._path()):
+            return 0
+        found = (_STATE.match(f.getPath().getName()) for f in fs.listStatus(self._path()))
+        return max((int(m[1]) for m in found if m), default=0)
+
+    def current(self, version: int | None = None) -> dict[str, list[str]]:
+        version = self.version() if version is None else version
+        if not version:
             return {}
-        stream = fs.open(self._pointer)
+        stream = self._fs().open(self._path(f"state-{version:08d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return {t: [f"{self.root}/{f}" for f in folders] for t, folders in json.loads(bytes(stream.readAllBytes()).decode()).items()}
         finally:
             stream.close()
 
@@ -85,26 +99,80 @@ class SnapshotStore:
         paths = self.current().get(table)
         return self.spark.read.parquet(*paths) if paths else None
 
-    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None) -> None:
-        state = self.current()
-        for changes, keep in ((replaced or {}, False), (appended or {}, True)):
+    def commit(
+        self,
+        replaced: dict[str, DataFrame] | None = None,
+        appended: dict[str, DataFrame] | None = None,
+        partitioned: dict[str, str] | None = None,
+        derived: dict[str, Callable[[dict[str, list[str]]], DataFrame]] | None = None,
+        dropped: Sequence[str] = (),
+        base: int | None = None,
+    ) -> None:
+        """Write tables and make them visible at once; ``derived`` ones are worked out from the folders of the others.
+
+        With ``base``, the version an update was made from, a commit in between is a Conflict; without it only one that
+        comes while the folders are written.
+        """
+        version = self.version()
+        if base is not None and base != version:
+            raise Conflict(self.root)
+        state = {t: f for t, f in self.current(version).items() if t not in dropped}
+        for changes, keep in ((replaced or {}, False), (appended or {}, True), (derived or {}, False)):
             for table, df in changes.items():
                 folder = f"{self.root}/{table}/{uuid.uuid4().hex}"
-                df.write.parquet(folder)
+                writer = (df(state) if callable(df) else df).write
+                (writer.partitionBy(partitioned[table]) if table in (partitioned or {}) else writer).parquet(folder)
                 state[table] = [*(state.get(table, []) if keep else []), folder]
+        self._publish(version + 1, state)
+
+    def _publish(self, version: int, state: dict[str, list[str]]) -> None:
         jvm, fs = self.spark._jvm, self._fs()
-        temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.current-{uuid.uuid4().hex}")
+        fs.mkdirs(self._path())
+        temporary = self._path(f".state-{uuid.uuid4().hex}")
         stream = fs.create(temporary, True)
-        stream.write(bytearray(json.dumps(state).encode()))
+        stream.write(bytearray(json.dumps({t: [f.removeprefix(f"{self.root}/") for f in folders] for t, folders in state.items()}).encode()))
         stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._pointer.toUri(), self.spark._jsc.hadoopConfiguration())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temporary, self._pointer, options)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(temporary, self._path(f"state-{version:08d}.json"), options)
+        except Py4JJavaError as error:
+            fs.delete(temporary, False)
+            raise Conflict(self.root) from error
 
     def wipe(self) -> None:
         """Forget all tables at once; the folders stay until they are cleaned up."""
-        self._fs().delete(self._pointer, False)
+        self._publish(self.version() + 1, {})
+
+    def clean(self) -> None:
+        """Delete folders that no state since the last commit names, and older states; for times without readers of those."""
+        fs, version = self._fs(), self.version()
+        used = {f for folders in self.current(version).values() for f in folders}
+        for f in fs.listStatus(self._path()) if version else []:
+            name = f.getPath().getName()
+            if f.isDirectory():
+                for g in fs.listStatus(f.getPath()):
+                    if f"{self.root}/{name}/{g.getPath().getName()}" not in used:
+                        fs.delete(g.getPath(), True)
+            elif name != f"state-{version:08d}.json":
+                fs.delete(f.getPath(), False)
+
+    def size(self) -> int:
+        """Bytes of the folder."""
+        return self._fs().getContentSummary(self._path()).getLength() if self._fs().exists(self._path()) else 0
+
+    def move(self, root: str) -> SnapshotStore:
+        """The store under another name; paths in states are relative, so nothing is rewritten."""
+        new = SnapshotStore(self.spark, root)
+        fs = self._fs()
+        if fs.exists(self._path()):
+            fs.mkdirs(new._path().getParent())
+            fs.rename(self._path(), new._path())
+        return new
+
+    def delete(self) -> None:
+        self._fs().delete(self._path(), True)
 
 
 def update(store: SnapshotStore, scanned: DataFrame, force: bool = False) -> dict[str, int]:
@@ -112,15 +180,24 @@ def update(store: SnapshotStore, scanned: DataFrame, force: bool = False) -> dic
 
     With ``force`` the stored documents and contents are replaced in the same commit.
     """
-    now = F.current_timestamp()
+    return changed(store, scanned, force)[0]
+
+
+def changed(store: SnapshotStore, scanned: DataFrame, force: bool = False) -> tuple[dict[str, int], DataFrame]:
+    """``update``, and the changes as ``diff`` gives them.
+
+    The scan and the changes are written to the shared folder first, so that files are read once, whatever uses them.
+    """
+    now, base = F.current_timestamp(), store.version()
     documents, content = (None, None) if force else (store.read("documents"), store.read("content"))
+    scanned = cut(scanned)
     empty = scanned.limit(0)
     documents = documents if documents is not None else empty.select(*KEY, "title", "hash", now.alias("created_at"), now.alias("modified_at"), F.lit(True).alias("active"))
     content = content if content is not None else empty.select("hash", "doc", now.alias("created_at"))
-    found = counts(diff(scanned, documents.where("active"))).first()
+    changes = cut(diff(scanned, documents.where("active")))
     new = new_content(content, scanned, now)
-    store.commit({"documents": apply_diff(documents, scanned, now)} | ({"content": new} if force else {}), {} if force else {"content": new})
-    return found.asDict()
+    store.commit({"documents": apply_diff(documents, scanned, now)} | ({"content": new} if force else {}), {} if force else {"content": new}, base=base)
+    return counts(changes).first().asDict(), changes
 
 
 def location(root: str, collection: str) -> str:

@@ -39,11 +39,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _best(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and scores of each query's best vectors; some more than ``k``, as ties are ordered later."""
+    """Rows, columns and scores of each query's best vectors; all that tie with its ``k``-th, as ties are ordered later."""
     s = q @ v.T
-    n = min(k + 8, s.shape[1])
-    top = np.argpartition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :].reshape(-1)
-    rows = np.repeat(np.arange(len(q)), n)
+    n = min(k, s.shape[1])
+    edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+    rows, top = np.nonzero(s >= edge[:, None] - 2e-9)
     return rows, top, s[rows, top]
 
 
@@ -90,18 +90,24 @@ def _in_cells(points: DataFrame, asked: DataFrame, k: int, query_key: str, key:
     return q.groupBy("x", "y").cogroup(v.groupBy("x", "y")).applyInPandas(cell, schema)
 
 
-def search(vectors: DataFrame, docs: DataFrame, query: Sequence[float], limit: int = 10, min_score: float | None = None) -> DataFrame:
-    """Best documents by their most similar chunk: ``collection, path, title, hash, score``.
+def best_chunks(vectors: DataFrame, docs: DataFrame, query: Sequence[float], fetch: int) -> DataFrame:
+    """``collection, path, title, hash, score``: each document's best among its collection's nearest ``fetch`` chunks, at most 4,096.
 
-    vectors: ``hash, embedding``.  Per collection the nearest ``8 * limit`` chunks, at most 4,096, are fetched
-    and each content keeps its best; a content used by several files of a collection comes out once, under
-    the smallest path.
+    A content used by several files of a collection comes out once, under the smallest path.
     """
     places = docs.groupBy("collection", "hash").agg(F.min(F.struct("path", "title")).alias("d")).select("collection", "hash", "d.path", "d.title")
     wanted = F.array(*(F.lit(float(x)) for x in query))
     scored = check_width(vectors, "embedding", len(query)).select("hash", cosine(F.col("embedding"), wanted).alias("score"))
-    fetched = scored.join(places, "hash").withColumn("_r", F.expr("row_number() over (partition by collection order by round(score, 9) desc, hash)")).where(F.col("_r") <= min(8 * limit, FETCH_MOST))
-    best = fetched.groupBy("collection", "path", "title", "hash").agg(F.max("score").alias("score"))
+    fetched = scored.join(places, "hash").withColumn("_r", F.expr("row_number() over (partition by collection order by round(score, 9) desc, hash)")).where(F.col("_r") <= min(fetch, FETCH_MOST))
+    return fetched.groupBy("collection", "path", "title", "hash").agg(F.max("score").alias("score"))
+
+
+def search(vectors: DataFrame, docs: DataFrame, query: Sequence[float], limit: int = 10, min_score: float | None = None) -> DataFrame:
+    """Best documents by their most similar chunk: ``collection, path, title, hash, score``.
+
+    vectors: ``hash, embedding``.  Per collection the nearest ``8 * limit`` chunks are fetched.
+    """
+    best = best_chunks(vectors, docs, query, 8 * limit)
     if min_score is not None:
         best = best.where(F.col("score") >= min_score)
     return best.orderBy(F.round("score", 9).desc(), "collection", "path").limit(limit)

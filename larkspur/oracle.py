@@ -10,8 +10,11 @@ _DOCS = "docs as (select collection, path, title, text as body, hash from docume
 _SPLIT = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
+_RANKING, _SUMMARY = fulltext.Phrase(("ranking",)), fulltext.Phrase(("summary",))
+
+
 def _bm25(phrases: list[fulltext.Phrase], title_weight: float = 1.0) -> str:
-    """CTEs that end in ``found(collection, path, hash, score)``."""
+    """CTEs that end in ``found(collection, path, hash, score)``.  The phrases are written out here: the parser has no part in them."""
 
     def count(column: str, p: fulltext.Phrase) -> str:
         def equal(x: str, j: int) -> str:
@@ -38,9 +41,9 @@ raws as (select collection, path, hash, {raw} as raw from counted join stats usi
 found as (select collection, path, hash, raw / (1 + raw) as score from raws)"""
 
 
-def _search(query: str, limit: int = 20, title_weight: float = 1.0, min_score: float | None = None) -> str:
+def _search(phrases: list[fulltext.Phrase], limit: int = 20, title_weight: float = 1.0, min_score: float | None = None) -> str:
     least = "" if min_score is None else f"and score >= {min_score}"
-    return _bm25(fulltext.parse_query(query), title_weight) + f"""
+    return _bm25(phrases, title_weight) + f"""
 select collection, path, round(raw_score, 6) as score, '#' || substr(hash, 1, 6) as doc_id from (
   select *, score as raw_score, row_number() over (partition by collection order by round(score, 9) desc, path) as r from found) where r <= {2 * limit} {least}
 order by round(raw_score, 9) desc, collection, path limit {limit}"""
@@ -110,6 +113,23 @@ _DIFF = f"""with {_SNAPSHOTS}, both_sides as (
   from (select *, 1 as there from stored where active) s full join (select *, 1 as there from scanned) n using (collection, path)),
 changes as (select collection, path, old_hash, new_hash, case when s_there is null then 'add' when n_there is null then 'deactivate' when old_hash is distinct from new_hash then 'update' end as action from both_sides)"""
 _RESULTS = "results as (select distinct collection, path, title, round(score, 3) + 0.0 as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))"
+_CHUNKS = "select regexp_replace(hash_seq, '_[^_]*$', '') as hash, max(embedding) as embedding from vectors_vec where hash_seq is not null and len(embedding) = 64 group by hash_seq"
+#: Every token of every searched field with its weight and place.
+_TOKS = f"""select collection, path, field, w, unnest(l) as token, generate_subscripts(l, 1) as i from (
+  select collection, path, 'p' as field, 10.0 as w, {_SPLIT.format('path')} as l from docs union all select collection, path, 't', 1.0, {_SPLIT.format('title')} from docs union all select collection, path, 'b', 1.0, {_SPLIT.format('body')} from docs)"""
+_LENGTHS = f"select collection, path, len({_SPLIT.format('path')}) + len({_SPLIT.format('title')}) + len({_SPLIT.format('body')}) as size from docs"
+#: ``found(query_id, collection, path, score)`` of ``ph(query_id, phrase_no, negated, prefix, t1, t2)``.
+_BATCH = f"""toks as ({_TOKS}), lengths as ({_LENGTHS}), stats as (select collection, count(*) as docs, avg(size) as average from lengths group by collection),
+begun as (select t1, token from (select distinct t1 from ph where prefix) p join (select distinct token from toks) t on starts_with(token, t1)),
+met as (select query_id, phrase_no, negated, collection, path, w from ph join toks on token = t1 where not prefix and t2 is null
+  union all select query_id, phrase_no, negated, collection, path, w from ph join begun using (t1) join toks using (token) where prefix
+  union all select query_id, phrase_no, negated, x.collection, x.path, x.w from ph join toks x on x.token = t1 join toks y on y.collection = x.collection and y.path = x.path and y.field = x.field and y.i = x.i + 1 and y.token = t2 where t2 is not null),
+per as (select query_id, phrase_no, negated, collection, path, sum(w) as f from met group by all),
+dfs as (select query_id, phrase_no, collection, count(*) as df from per where not negated group by all),
+raws as (select query_id, collection, path, count(*) as n, sum((case when ln((docs - df + 0.5) / (df + 0.5)) > 0 then ln((docs - df + 0.5) / (df + 0.5)) else 1e-6 end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / average))) as raw
+  from per join dfs using (query_id, phrase_no, collection) join stats using (collection) join lengths using (collection, path) where not negated group by all),
+found as (select query_id, collection, path, raw / (1 + raw) as score from raws join (select query_id, count(*) as needed from ph where not negated group by query_id) using (query_id)
+  where n = needed and not exists (select 1 from per x where x.negated and x.query_id = raws.query_id and x.collection = raws.collection and x.path = raws.path))"""
 _COS = "list_cosine_similarity(embedding::double[], q)"
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
@@ -144,17 +164,40 @@ SQL: dict[str, str] = {
       select * from s where not exists (select 1 from n where n.hash = s.hash and n.seq = s.seq) union all select * from n""",
     "collection_status": "select collection, count(*) as documents, sum(active)::bigint as active, round(sum(coalesce(octet_length(encode(text)), 0)) / 1048576, 1) as mib from documents group by collection",
     "term_df": f"with {_DOCS} select term, count(*) as df from (select unnest(list_distinct({_SPLIT.format('body')})) as term from docs) group by term",
-    "bm25_multi_collection": _bm25(fulltext.parse_query('"ranking" "summary"')) + " select collection, path, round(score, 6) as score from (select *, row_number() over (partition by collection order by round(score, 9) desc, path) as r from found) where r <= 5",
-    "bm25_batch": f"""with {_DOCS}, tokens as (select collection, path, {_SPLIT.format('path')} as p, {_SPLIT.format('title')} as t, {_SPLIT.format('body')} as b from docs),
-      lengths as (select collection, path, len(p) + len(t) + len(b) as size from tokens),
-      stats as (select collection, count(*) as docs, avg(size) as average from lengths group by collection),
-      tf as (select collection, path, token, sum(w) as f from (select collection, path, unnest(p) as token, 10.0 as w from tokens union all select collection, path, unnest(t), 1.0 from tokens union all select collection, path, unnest(b), 1.0 from tokens) group by all),
-      q as (select item_id as query_id, unnest(list_filter(list_filter(ts, lambda x, i: list_position(ts, x) = i), lambda x: length(x) >= 6)[1:2]) as token from (select item_id, {_SPLIT.format('text')} as ts from eval_item where kind = 'query' and text is not null)),
-      df as (select collection, token, count(*) as df from tf where token in (select token from q) group by all),
-      raws as (select query_id, collection, path, count(*) as n, sum((case when ln((docs - df + 0.5) / (df + 0.5)) > 0 then ln((docs - df + 0.5) / (df + 0.5)) else 1e-6 end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / average))) as raw
-        from q join tf using (token) join df using (collection, token) join stats using (collection) join lengths using (collection, path) group by all),
-      found as (select query_id, collection, path, raw / (1 + raw) as score from raws join (select query_id, count(*) as needed from q group by query_id) using (query_id) where n = needed)
+    "bm25_multi_collection": _bm25([_RANKING, _SUMMARY]) + " select collection, path, round(score, 6) as score from (select *, row_number() over (partition by collection order by round(score, 9) desc, path) as r from found) where r <= 5",
+    "bm25_batch": f"""with {_DOCS}, items as (select item_id as query_id, substr(item_id, -1, 1)::int % 3 as n, ts, list_filter(list_filter(ts, lambda x, i: list_position(ts, x) = i), lambda x: length(x) >= 6) as long
+        from (select item_id, {_SPLIT.format('text')} as ts from eval_item where kind = 'query' and text is not null)),
+      ph as (select query_id, unnest([1, 2]) as phrase_no, false as negated, false as prefix, unnest(long[1:2]) as t1, null::varchar as t2 from items where n = 0
+        union all select query_id, 1, false, false, ts[3], ts[4] from items where n = 1 union all select query_id, 2, true, false, long[2], null from items where n = 1 and len(long) > 1
+        union all select query_id, 1, false, true, long[1][1:4], null from items where n = 2 and len(long) > 0 union all select query_id, 2, false, true, long[2][1:3], null from items where n = 2 and len(long) > 1),
+      {_BATCH}
       select {_OUT} from ({_top('found', 10)})""",
+    "fulltext_index": f"""with {_DOCS}, toks as ({_TOKS}), lengths as ({_LENGTHS})
+      select collection, docs, round(average, 6) as avg, postings, places from (select collection, count(*) as docs, avg(size) as average from lengths group by collection)
+      join (select collection, count(*) as postings, sum(n)::bigint as places from (select collection, path, token, count(*) as n from toks group by all) group by collection) using (collection)""",
+    "hybrid_pipeline": _bm25([_RANKING, _SUMMARY]) + f""", a as (select embedding::double[] as q from embeddings order by vec_id limit 1),
+      direct as (select *, row_number() over (order by round(score, 9) desc, collection, path) as rank from (select *, row_number() over (partition by collection order by round(score, 9) desc, path) as r from found) where r <= 20),
+      gate as (select a >= 0.75 and (b2 is null or a - b2 >= 0.10) as strong from (select max(score) filter (rank = 1) as a, max(score) filter (rank = 2) as b2 from direct)),
+      b as (select * from (select *, row_number() over (partition by collection order by round(score, 9) desc, path) as r from found) where r <= 30),
+      c as (select hash, {_COS} as score from ({_CHUNKS}) x, a where list_dot_product(embedding, embedding) > 0),
+      places as (select collection, hash, min(path) as path from docs group by all),
+      fetched as (select * from (select *, row_number() over (partition by collection order by round(score, 9) desc, hash) as r from c join places using (hash)) where r <= 120),
+      v as (select * from (select *, row_number() over (partition by collection order by round(score, 9) desc, path) as r from (select collection, path, max(score) as score from fetched group by all)) where r <= 30),
+      f as (select collection, path, 0.8 * coalesce(v.score, 0) + 0.2 * coalesce(b.score, 0) as score from (select collection, path, score from b) b full join v using (collection, path)),
+      both_ways as (select collection, path, score from (select * from direct, gate where strong and rank <= 10) union all select collection, path, score from (select *, row_number() over (order by round(score, 9) desc, collection, path) as rank from f), gate where strong is not true and rank <= 10)
+      select collection, path, round(score, 6) as score, '#' || substr(hash, 1, 6) as doc_id from both_ways join docs using (collection, path)""",
+    "expanded_fusion": f"""with {_TWO}, typed as (select query_id, kind, collection, path, score * case kind when 'vec' then 1.5 else 1.0 end as score from scores where kind in ('lex', 'vec', 'hyde') and score_type in ('bm25_norm', 'cosine')),
+      lexical as (select query_id, collection, path, score from typed where kind = 'lex' union all select * from b where query_id not in (select query_id from typed where kind = 'lex')),
+      semantic as (select query_id, collection, path, score from typed where kind <> 'lex' union all select * from v where query_id not in (select query_id from typed where kind <> 'lex')),
+      f as (select query_id, collection, path, 0.8 * coalesce(y.score, 0) + 0.2 * coalesce(x.score, 0) as score from (select query_id, collection, path, max(score) as score from lexical group by all) x full join (select query_id, collection, path, max(score) as score from semantic group by all) y using (query_id, collection, path))
+      select {_OUT} from ({_top('f', 10)})""",
+    "prf_fusion": f"""{_FEEDBACK}, ph as (select query_id, term_rank as phrase_no, false as negated, true as prefix, term as t1, null::varchar as t2 from terms where term_rank <= 2),
+      {_BATCH}, again as ({_top('found', 30)}),
+      f as (select query_id, collection, path, 0.7 * coalesce(b.score, 0) + 0.3 * coalesce(again.score, 0) as score from again full join b using (query_id, collection, path))
+      select {_OUT} from ({_top('f', 10)})""",
+    "corpus_jsonl": "select _id, md5(coalesce(title, '')) as title, md5(coalesce(text, '')) as text from corpus_doc",
+    "queries_jsonl": "select item_id as query_id, text from eval_item where text is not null",
+    "qrels_tsv": f"with {_TWO}, {_QRELS}, {_TEXTS} select query_id::varchar as query_id, doc, relevance, md5(text) as text from qrels join texts using (query_id)",
     "knn_topk": f"with e as (select vec_id, embedding from embeddings), a as (select embedding::double[] as q from e order by vec_id limit 1) select vec_id, round({_COS}, 6) as score from e, a order by round({_COS}, 9) desc, vec_id limit 10",
     "knn_batch": f"""select query_id, vec_id, round(score, 6) as score, rank from (select query_id, vec_id, score, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from (
       select query_id, vec_id, {_COS} as score from embeddings, (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0) a)) where rank <= 10""",
@@ -205,7 +248,7 @@ SQL: dict[str, str] = {
     ).replace("q(path)", "(case when regexp_matches(path, '[,\"\\n]') then '\"' || replace(path, '\"', '\"\"') || '\"' else path end)").replace(
         "q(coalesce(title, ''))", "(case when regexp_matches(coalesce(title, ''), '[,\"\\n]') then '\"' || replace(title, '\"', '\"\"') || '\"' else coalesce(title, '') end)"
     ),
-    "output_json": "select distinct to_json({'collection': collection, 'path': path, 'title': title, 'snippet': snippet, 'hash': hash, 'doc_id': doc_id})::varchar as line from (select distinct collection, path, title, round(score, 3) + 0.0 as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))".replace("select distinct to_json", "select to_json"),
+    "output_json": "select distinct to_json({'collection': collection, 'path': path, 'title': title, 'score': score, 'snippet': snippet, 'hash': hash, 'doc_id': doc_id})::varchar as line from (select distinct collection, path, title, round(score, 3) + 0.0 as score, snippet, hash, doc_id from search_result where score is not null and not isnan(score))".replace("select distinct to_json", "select to_json"),
     "output_markdown": f"with {_RESULTS} select '- [' || coalesce(title, '') || '](' || path || ') `' || printf('%.3f', score) || '` ' || doc_id || case when snippet is null then '' else chr(10) || '  > ' || replace(replace(snippet, '<b>', '**'), '</b>', '**') end as line from results",
     "p7_found": "select distinct doc_id from documents d where active = 1 and hash is not null and not exists (select 1 from content_vectors v where v.hash = d.hash and v.embedded_at is not null)",
     "p7_pending": """with last as (select max(started_at) as l from index_run where status = 'ok' and finished_at is not null),
@@ -213,11 +256,13 @@ SQL: dict[str, str] = {
       select distinct doc_id, hash, epoch_us(modified_at) as modified_us, modified_at is null or s is null or modified_at >= s as reread from documents d, since
       where active = 1 and hash is not null and not exists (select 1 from content_vectors v where v.hash = d.hash and v.embedded_at is not null)""",
 }
+_NOT = [_RANKING, fulltext.Phrase(("calibrated",), negated=True), fulltext.Phrase(("stale",), negated=True)]
 SQL |= {
-    "bm25_terms": _search('"ranking" "summary"'),
-    "bm25_prefix": _search("calib rank"),
-    "bm25_phrase": _search('"the vector"'),
-    "bm25_not": _search('"ranking" -calibrated -stale'),
-    "bm25_title_weight": _search("ranking", title_weight=3.0),
-    "bm25_min_score": _search("ranking", min_score=0.9),
+    "bm25_terms": _search([_RANKING, _SUMMARY]),
+    "bm25_prefix": _search([fulltext.Phrase(("calib",), True), fulltext.Phrase(("rank",), True)]),
+    "bm25_phrase": _search([fulltext.Phrase(("the", "vector"))]),
+    "bm25_not": _search(_NOT),
+    "bm25_scan": _search(_NOT),
+    "bm25_title_weight": _search([fulltext.Phrase(("ranking",), True)], title_weight=3.0),
+    "bm25_min_score": _search([fulltext.Phrase(("ranking",), True)], min_score=0.5),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CollectionNotFound, EngineError
-from ..operators import embedding, ingest
+from ..operators import embedding, ingest, postings
 from ..operators.expansion import SubQuery
 from ..operators.models import Embedder, HashingEmbedder, OverlapScorer, QueryExpander
 from ..sources.files import read_files
@@ -36,17 +36,26 @@ class CachedExpander:
 
 
 class Engine:
-    """One home folder: ``collections.yml`` and an index folder per collection."""
+    """A local ``collections.yml`` in ``home``, and an index folder per collection and the caches below ``index``.
 
-    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, scorer=None, expander=None, profile: str = "generic") -> None:
-        self.spark, self.home, self.profile = spark, home, profile
+    index is a folder of any file system that all executors share; only on one machine it defaults to ``home``.
+    """
+
+    def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None, scorer=None, expander=None, profile: str = "generic", index: str | None = None, analyzer: str = "porter") -> None:
+        if index is None and not spark.sparkContext.master.startswith("local"):
+            raise EngineError("name an index folder that all executors share")
+        self.spark, self.home, self.profile, self.analyzer = spark, home, profile, analyzer
+        self.index_root = index or "file://" + os.path.abspath(home)
         self.registry = Registry(os.path.join(home, "collections.yml"))
         self.embedder, self.scorer = embedder or HashingEmbedder(), scorer or OverlapScorer()
-        self.caches = ingest.SnapshotStore(spark, "file://" + os.path.abspath(os.path.join(home, "caches")))
+        self.caches = ingest.SnapshotStore(spark, f"{self.index_root}/caches")
         self.expander = CachedExpander(expander, self.caches) if expander is not None else None
 
     def store(self, name: str) -> ingest.SnapshotStore:
-        return ingest.SnapshotStore(self.spark, "file://" + os.path.abspath(ingest.location(os.path.join(self.home, "index"), name)))
+        return ingest.SnapshotStore(self.spark, ingest.location(f"{self.index_root}/index", name))
+
+    def postings(self, name: str) -> postings.IndexStore:
+        return postings.IndexStore(ingest.SnapshotStore(self.spark, ingest.location(f"{self.index_root}/postings", name)), self.analyzer)
 
     def add(self, collection: Collection) -> None:
         self.registry.add(collection)
@@ -54,24 +63,37 @@ class Engine:
     def remove(self, name: str, purge: bool = False) -> None:
         self.registry.remove(name)
         if purge:
-            import shutil
-
-            shutil.rmtree(ingest.location(os.path.join(self.home, "index"), name), ignore_errors=True)
+            self.store(name).delete()
+            self.postings(name).store.delete()
 
     def rename(self, old: str, new: str) -> None:
         """Renames the index with the entry."""
-        folder = os.path.join(self.home, "index")
         self.registry.rename(old, new)
-        if os.path.isdir(ingest.location(folder, old)):
-            state = self.store(old).current()
-            os.rename(ingest.location(folder, old), ingest.location(folder, new))
-            moved = {t: [f.replace(f"/index/{old}/", f"/index/{new}/") for f in folders] for t, folders in state.items()}
-            store = self.store(new)
-            store.commit({t: self.spark.read.parquet(*folders).withColumn("collection", F.lit(new)) if t == "documents" else self.spark.read.parquet(*folders) for t, folders in moved.items()})
+        moved = self.store(old).move(ingest.location(f"{self.index_root}/index", new))
+        self.postings(old).store.delete()
+        documents = moved.read("documents")
+        if documents is not None:
+            moved.commit({"documents": documents.withColumn("collection", F.lit(new))})
+            self.postings(new).replace(self._documents([new]))
 
     def update(self, name: str, force: bool = False) -> dict[str, int]:
+        """Bring documents, contents and postings up to the files; only what changed is tokenized."""
         c = self.registry.get(name)
-        return ingest.update(self.store(name), read_files(self.spark, name, c.path, c.globs, c.excludes), force)
+        found, changes = ingest.changed(self.store(name), read_files(self.spark, name, c.path, c.globs, c.excludes), force)
+        index = self.postings(name)
+        if force or index.index() is None:
+            index.replace(self._documents([name]))
+        elif any(found.values()):
+            fresh = self._documents([name]).join(changes.where("action <> 'deactivate'").select("collection", "path"), ["collection", "path"], "left_semi")
+            index.add(fresh, changes)
+        return found
+
+    def _documents(self, names: list[str]) -> DataFrame:
+        """Active ``collection, path, title, body, hash``."""
+        documents, content = self._all(names, "documents"), self._all(names, "content")
+        if documents is None:
+            raise EngineError("nothing is indexed")
+        return documents.where("active").join(content.groupBy("hash").agg(F.min("doc").alias("body")), "hash").select("collection", "path", "title", "body", "hash")
 
     def embed(self, name: str, force: bool = False) -> dict[str, int]:
         """Drop orphaned vectors and embed what has none; everything with ``force``."""
@@ -97,11 +119,10 @@ class Engine:
         return out
 
     def session(self, names: list[str]) -> SearchSession:
-        documents, content, chunks = (self._all(names, t) for t in ("documents", "content", "vectors"))
-        if documents is None:
-            raise EngineError("nothing is indexed")
-        docs = documents.where("active").join(content.groupBy("hash").agg(F.min("doc").alias("body")), "hash").select("collection", "path", "title", "body", "hash")
-        return SearchSession(docs, chunks, content, self.embedder if chunks is not None else None, self.expander, self.scorer, self.caches.read("scores"), profile=self.profile)
+        docs, content, chunks = self._documents(names), self._all(names, "content"), self._all(names, "vectors")
+        indexes = [i for i in (self.postings(n).index() for n in names) if i is not None]
+        index = postings.Index.union(indexes) if indexes else None
+        return SearchSession(docs, chunks, content, self.embedder if chunks is not None else None, self.expander, self.scorer, self.caches.read("scores"), self.analyzer, self.profile, index)
 
     def search(self, query: str, names: list[str] = (), limit: int = 10, mode: str = "hybrid", min_score: float | None = None) -> Outcome:
         session = self.session(self.registry.resolve(list(names), os.getcwd()))
@@ -126,7 +147,6 @@ class Engine:
         """Name, path, whether it is indexed, and the index's size in MiB."""
         out = []
         for c in self.registry.collections:
-            folder = ingest.location(os.path.join(self.home, "index"), c.name)
-            size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+            size = self.store(c.name).size() + self.postings(c.name).store.size()
             out.append({"name": c.name, "path": c.path, "indexed": bool(self.store(c.name).current()), "mib": round(size / 1048576, 1)})
         return out

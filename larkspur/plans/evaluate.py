@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.scalars import eval_text, query_prompt
-from ..operators import evaluation, fulltext, fusion, rerank, vectors
+from ..operators import evaluation, fulltext, fusion, postings, rerank, vectors
 from ..operators.embedding import embed
 from ..operators.models import Embedder, Scorer
 
@@ -63,6 +63,7 @@ class Evaluation:
         self.docs = corpus.select(F.lit(COLLECTION).alias("collection"), F.col("_id").alias("path"), "title", F.col("text").alias("body"), F.sha2(F.concat_ws(":", "_id", eval_text(F.col("title"), F.col("text"))), 256).alias("hash"))
         self.qrels, self.queries = qrels, queries.join(qrels.select("query_id"), "query_id", "left_semi")
         self.embedder, self.scorer, self.subs, self._chunks = embedder, scorer, subs, chunks
+        self._indexes: dict[str, postings.Index] = {}
 
     def chunks(self, config: Config) -> DataFrame:
         """``hash, embedding`` of the corpus; embedded when none were given."""
@@ -72,7 +73,9 @@ class Evaluation:
 
     def _bm25(self, queries: DataFrame, limit: int, config: Config) -> DataFrame:
         phrases = fulltext.phrase_rows(queries, analyzer=config.analyzer)
-        return fulltext.search_batch(self.docs, phrases, limit, config.analyzer, {"title": config.title_weight})
+        if config.analyzer not in self._indexes:
+            self._indexes[config.analyzer] = postings.Index.of(self.docs, config.analyzer)
+        return postings.search_batch(self._indexes[config.analyzer], phrases, limit, {"title": config.title_weight})
 
     def _vector(self, queries: DataFrame, limit: int, config: Config) -> DataFrame:
         """Best chunk per document among each query's nearest ``4 * limit`` chunks."""
@@ -90,15 +93,16 @@ class Evaluation:
         best = near.groupBy("query_id", "hash").agg(F.max("score").alias("score")).join(places, "hash")
         return fusion.top(best.select("query_id", F.lit(COLLECTION).alias("collection"), "path", "score"), limit)
 
-    def _sub_lists(self, limit: int, config: Config) -> list[tuple[str, DataFrame]]:
-        """Ranked results of each kind and place of sub-query."""
-        out = []
+    def _sub_results(self, limit: int, config: Config) -> DataFrame:
+        """Ranked results of all sub-queries at once, with their ``kind`` and ``n``, the place among those of their kind."""
         numbered = self.subs.withColumn("n", F.expr("row_number() over (partition by query_id, kind order by seq)"))
-        places = [(r["kind"], r["n"]) for r in numbered.groupBy("kind").agg(F.max("n").alias("most")).select("kind", F.explode(F.expr("sequence(1, most)")).alias("n")).collect()]
-        for kind, n in sorted(places, key=lambda p: (("lex", "vec", "hyde").index(p[0]), p[1])):
-            own = numbered.where((F.col("kind") == kind) & (F.col("n") == n)).select("query_id", "text")
-            out.append((kind, self._bm25(own, limit, config) if kind == "lex" else self._vector(own, limit, config)))
-        return out
+        place = F.struct("query_id", "kind", "n")
+        shape = numbered.select(place.alias("p")).schema["p"].dataType.simpleString()
+        numbered = numbered.select(F.to_json(place).alias("query_id"), "text", "kind")
+        lex = self._bm25(numbered.where("kind = 'lex'"), limit, config)
+        near = self._vector(numbered.where("kind in ('vec', 'hyde')"), limit, config)
+        columns = ["query_id", "collection", "path", "score", "rank"]
+        return lex.select(columns).unionByName(near.select(columns)).withColumn("query_id", F.from_json("query_id", shape)).select("query_id.*", *columns[1:])
 
     def ranked(self, config: Config) -> DataFrame:
         """``query_id, collection, path, score, rank`` of every query."""
@@ -122,11 +126,11 @@ class Evaluation:
         bm25, vector = self._bm25(self.queries, 3 * limit, config), self._vector(self.queries, 3 * limit, config)
         weights = {"lex": config.lex_weight, "vec": config.vec_weight, "hyde": config.hyde_weight}
         if self.subs is not None:
-            lists = self._sub_lists(3 * limit, config)
+            lists = self._sub_results(3 * limit, config)
             if config.fuse == "score":
-                return self._pools(lists, bm25, vector, weights, limit, config)
-            parts = [fusion.as_list(df, i, weights[kind]) for i, (kind, df) in enumerate(lists)]
-            return self._rrf(parts, limit, config)
+                return fusion.pooled(lists, bm25, vector, weights, limit, config.alpha)
+            worth = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("kind")]
+            return fusion.rrf(lists.select("query_id", F.concat("kind", "n").alias("list_id"), worth.alias("weight"), "collection", "path", (F.col("rank") - 1).alias("rank0")), limit, config.rrf_k)
         if config.fuse == "rrf":
             return self._rrf([fusion.as_list(bm25, 0, config.lex_weight), fusion.as_list(vector, 1, config.vec_weight)], limit, config)
         if config.adaptive:
@@ -143,19 +147,6 @@ class Evaluation:
             lists = lists.unionByName(part)
         return fusion.rrf(lists, limit, config.rrf_k)
 
-    def _pools(self, lists: list[tuple[str, DataFrame]], bm25: DataFrame, vector: DataFrame, weights: dict[str, float], limit: int, config: Config) -> DataFrame:
-        """Weighted scores pooled by side; a query without sub-query results of a side uses its own list."""
-        sides = []
-        for plain, kinds in ((bm25, ("lex",)), (vector, ("vec", "hyde"))):
-            pool = None
-            for kind, df in lists:
-                if kind in kinds:
-                    part = df.select("query_id", "collection", "path", (F.col("score") * weights[kind]).alias("score"))
-                    pool = part if pool is None else pool.unionByName(part)
-            own = plain.select("query_id", "collection", "path", "score")
-            sides.append(own if pool is None else pool.unionByName(own.join(pool.select("query_id"), "query_id", "left_anti")))
-        return fusion.linear(*sides, limit, config.alpha)
-
     def _with_feedback(self, found: DataFrame, limit: int, config: Config) -> DataFrame:
         seeds = self._bm25(self.queries, config.prf_docs, config)
         texts = self.docs.select("collection", "path", eval_text(F.col("title"), F.col("body")).alias("text"))

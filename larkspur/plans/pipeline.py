@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery
 from ..functions.scalars import QUERY_FORMATS, doc_id
-from ..operators import fulltext, fusion, rerank, vectors
+from ..operators import fulltext, fusion, postings, rerank, vectors
 from ..operators.expansion import expand_all
 from ..operators.models import Embedder, QueryExpander, Scorer
 
@@ -28,13 +28,14 @@ class Outcome:
 class SearchSession:
     """Searches over one index; each stage is a lazy plan, and only gates look at a query's first two rows.
 
-    docs: active ``collection, path, title, body, hash``; chunks: ``hash, embedding``; content: ``hash, doc``.
+    docs: active ``collection, path, title, body, hash``; chunks: ``hash, embedding``; content: ``hash, doc``.  With an ``index``
+    full text is answered from it, and texts are read for snippets only.
     """
 
-    def __init__(self, docs: DataFrame, chunks: DataFrame | None = None, content: DataFrame | None = None, embedder: Embedder | None = None, expander: QueryExpander | None = None, scorer: Scorer | None = None, cache: DataFrame | None = None, analyzer: str = "porter", profile: str = "embeddinggemma") -> None:
+    def __init__(self, docs: DataFrame, chunks: DataFrame | None = None, content: DataFrame | None = None, embedder: Embedder | None = None, expander: QueryExpander | None = None, scorer: Scorer | None = None, cache: DataFrame | None = None, analyzer: str = "porter", profile: str = "embeddinggemma", index: postings.Index | None = None) -> None:
         self.docs, self.chunks, self.content = docs, chunks, content
         self.embedder, self.expander, self.scorer, self.cache = embedder, expander, scorer, cache
-        self.analyzer, self.profile = analyzer, profile
+        self.analyzer, self.profile, self.index = index.analyzer if index is not None else analyzer, profile, index
         self.new_scores: list[DataFrame] = []
 
     def _one(self, found: DataFrame, limit: int) -> DataFrame:
@@ -42,11 +43,18 @@ class SearchSession:
 
     def _bm25(self, query: str, limit: int) -> DataFrame:
         """Per collection the best ``limit``, collections one after another in the order of the ranks they get."""
-        found = fulltext.per_collection(fulltext.matches(self.docs, fulltext.parse_query(query, self.analyzer), self.analyzer), limit)
-        return self._in_order(found)
+        found = fulltext.matches(self.docs, fulltext.parse_query(query, self.analyzer), self.analyzer) if self.index is None else postings.matches(self.index, query)
+        return self._in_order(fulltext.per_collection(found, limit))
+
+    def _full_text(self, query: str, limit: int, min_score: float | None) -> DataFrame:
+        if self.index is None:
+            return fulltext.search(self.docs, query, limit, min_score, self.analyzer, snippets=True)
+        return postings.search(self.index, query, limit, min_score, bodies=self.docs)
 
     def _vector(self, text: str, limit: int) -> DataFrame:
-        return self._in_order(fulltext.per_collection(vectors.search(self.chunks, self.docs, self.embedder.embed_query(text).tolist(), limit * 64), limit))
+        """Best documents of each collection among its nearest ``4 * limit`` chunks."""
+        best = vectors.best_chunks(self.chunks, self.docs, self.embedder.embed_query(text).tolist(), 4 * limit)
+        return self._in_order(fulltext.per_collection(best, limit))
 
     def _in_order(self, found: DataFrame) -> DataFrame:
         rank = F.expr("row_number() over (partition by query_id order by collection, score desc, path)")
@@ -60,9 +68,9 @@ class SearchSession:
         """``mode`` is bm25, vector (or vec) or hybrid."""
         if mode not in ("bm25", "vector", "vec", "hybrid"):
             raise InvalidQuery(f"no such mode: {mode}")
-        session = self if not collections else SearchSession(self.docs.where(F.col("collection").isin(*collections)), self.chunks, self.content, self.embedder, self.expander, self.scorer, self.cache, self.analyzer, self.profile)
+        session = self if not collections else SearchSession(self.docs.where(F.col("collection").isin(*collections)), self.chunks, self.content, self.embedder, self.expander, self.scorer, self.cache, self.analyzer, self.profile, self.index.within(collections) if self.index is not None else None)
         if mode == "bm25":
-            return Outcome(fulltext.search(session.docs, query, limit, min_score, self.analyzer, snippets=True))
+            return Outcome(session._full_text(query, limit, min_score))
         text = QUERY_FORMATS[self.profile].format(query=query)
         if mode in ("vector", "vec"):
             found = vectors.search(session.chunks, session.docs, session.embedder.embed_query(text).tolist(), limit, min_score)
@@ -72,7 +80,7 @@ class SearchSession:
 
     def _hybrid(self, query: str, text: str, limit: int, min_score: float | None) -> Outcome:
         log = []
-        direct = fulltext.search(self.docs, query, limit, min_score, self.analyzer, snippets=True)
+        direct = self._full_text(query, limit, min_score)
         first = self._one(direct, limit)
         if first.count() and fusion.strong_bm25(first).first()["strong"]:
             return Outcome(direct, ["full text is sure of itself"])

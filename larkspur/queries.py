@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions import chunking, scalars
 from .functions.analysis import simple_tokens
-from .operators import embedding, evaluation, expansion, fulltext, fusion, incremental, ingest, output, rerank, vectors
-from .storage import table
+from .operators import embedding, evaluation, expansion, fulltext, fusion, incremental, ingest, output, postings, rerank, vectors
+from .plans.pipeline import SearchSession
+from .sources import beir
+from .storage import shared_folder, table
 
 NOW = "timestamp '2025-07-01 00:00:00'"
 TERMS, PREFIXES, PHRASE, WITHOUT = '"ranking" "summary"', "calib rank", '"the vector"', '"ranking" -calibrated -stale'
+STEMS = '"rankings" "calibrating"'
 KEY = ["query_id", "collection", "path"]
 
 
@@ -134,31 +138,61 @@ def term_df(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select(F.explode(F.array_distinct(simple_tokens(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _search(query: str, limit: int = 20, **options) -> Callable[[SparkSession, str], DataFrame]:
+_stored: dict[tuple[str, str, str], postings.IndexStore] = {}
+
+
+def index(spark: SparkSession, sf: str, analyzer: str = "simple") -> postings.Index:
+    """The stored index of the active documents, made in the shared folder when an application first asks for it."""
+    key = (spark.sparkContext.applicationId, sf, analyzer)
+    if key not in _stored:
+        made = postings.IndexStore(ingest.SnapshotStore(spark, f"{shared_folder(spark)}/index-{hashlib.md5(sf.encode()).hexdigest()[:12]}-{analyzer}"), analyzer)
+        if made.index() is None:
+            made.add(docs(spark, sf))
+        _stored[key] = made
+    return _stored[key].index()
+
+
+def fulltext_index(spark: SparkSession, sf: str) -> DataFrame:
+    """What is in the index: per collection its documents, their mean length, and its postings and places."""
+    known = index(spark, sf)
+    per = known.postings.groupBy("collection").agg(F.count("*").alias("postings"), F.sum(sum((F.col(f"n_{c}") for c in fulltext.WEIGHTS), F.lit(0))).alias("places"))
+    return rounded(known.stats.join(per, "collection"), "avg")
+
+
+def _search(query: str, limit: int = 20, analyzer: str = "simple", **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(fulltext.search(docs(spark, sf), query, limit, **options)).select("collection", "path", "score", "doc_id")
+        return rounded(postings.search(index(spark, sf, analyzer), query, limit, **options)).select("collection", "path", "score", "doc_id")
 
     return run
 
 
+def bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking without an index: two scans of the texts."""
+    return rounded(fulltext.search(docs(spark, sf), WITHOUT, 20)).select("collection", "path", "score", "doc_id")
+
+
 def bm25_multi_collection(spark: SparkSession, sf: str) -> DataFrame:
-    found = fulltext.matches(docs(spark, sf), fulltext.parse_query(TERMS))
-    return rounded(fulltext.per_collection(found, 5)).select("collection", "path", "score")
+    return rounded(fulltext.per_collection(postings.matches(index(spark, sf), TERMS), 5)).select("collection", "path", "score")
 
 
 def bm25_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fulltext.search(docs(spark, sf), TERMS, 20, analyzer="porter", snippets=True)).select("collection", "path", "score", "snippet")
+    return rounded(postings.search(index(spark, sf, "porter"), TERMS, 20, bodies=docs(spark, sf))).select("collection", "path", "score", "snippet")
 
 
 def batch_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Two words of each evaluation query that has them, as exact terms."""
-    rows = table(spark, sf, "eval_item").where("kind = 'query' and text is not null").select(F.col("item_id").alias("query_id"), F.filter(F.array_distinct(simple_tokens(F.col("text"))), lambda t: F.length(t) >= 6).alias("ts"))
-    phrases = rows.select("query_id", F.posexplode(F.slice("ts", 1, 2)).alias("phrase_no", "t"))
-    return phrases.select("query_id", "phrase_no", F.lit(False).alias("negated"), F.lit(False).alias("prefix"), F.array("t").alias("tokens"))
+    """Search strings made of the words of every evaluation query: two whole words, a phrase without a word, or two prefixes."""
+    rows = table(spark, sf, "eval_item").where("kind = 'query' and text is not null").select(F.col("item_id").alias("query_id"), simple_tokens(F.col("text")).alias("ts"))
+    rows = rows.withColumn("long", F.filter(F.array_distinct("ts"), lambda t: F.length(t) >= 6))
+    word = lambda i: F.coalesce(F.get("long", F.lit(i)), F.lit(""))
+    n = F.substring("query_id", -1, 1).cast("int") % 3
+    text = F.when(n == 0, F.concat(F.lit('"'), word(0), F.lit('" "'), word(1), F.lit('"')))
+    text = text.when(n == 1, F.concat(F.lit('"'), F.get("ts", F.lit(2)), F.lit(" "), F.get("ts", F.lit(3)), F.lit('" -'), word(1)))
+    text = text.otherwise(F.concat(F.substring(word(0), 1, 4), F.lit(" "), F.substring(word(1), 1, 3)))
+    return fulltext.phrase_rows(rows.select("query_id", text.alias("text")))
 
 
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fulltext.search_batch(docs(spark, sf), batch_queries(spark, sf), 10))
+    return rounded(postings.search_batch(index(spark, sf), batch_queries(spark, sf), 10))
 
 
 # ---- vectors --------------------------------------------------------------------------------------
@@ -244,6 +278,32 @@ def adaptive_alpha(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fusion.adaptive_alpha(_request_texts(spark, sf), side(spark, sf, "bm25_norm"), side(spark, sf, "cosine")), "alpha")
 
 
+def expanded_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted pools of typed sub-queries' scores; a request without any of a side uses its plain list."""
+    lists = scores(spark, sf).where("kind in ('lex', 'vec', 'hyde') and score_type in ('bm25_norm', 'cosine')")
+    return rounded(fusion.pooled(lists, side(spark, sf, "bm25_norm"), side(spark, sf, "cosine"), fusion.RRF_WEIGHTS, 10))
+
+
+class _Fixed:
+    """An embedder that answers every text with one vector."""
+
+    model_id = "fixed"
+
+    def __init__(self, vector: list[float]) -> None:
+        self.vector = vector
+
+    def embed_query(self, text: str):
+        import numpy as np
+
+        return np.array(self.vector)
+
+
+def hybrid_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search of one query: full text from the index, vectors, fusion and gates."""
+    session = SearchSession(docs(spark, sf), chunk_vectors(spark, sf), embedder=_Fixed(_query_vector(spark, sf)), analyzer="simple", profile="generic", index=index(spark, sf))
+    return rounded(session.search(TERMS, 10).results).select("collection", "path", "score", "doc_id")
+
+
 # ---- reranking and expansion ----------------------------------------------------------------------
 
 
@@ -335,6 +395,45 @@ def prf_queries(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.feedback_queries(*_feedback(spark, sf))
 
 
+def prf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Full text asked again with each request's two most telling feedback terms, fused with the first result."""
+    queries, _ = _feedback(spark, sf)
+    texts = docs(spark, sf).select("collection", "path", F.col("body").alias("text"))
+    terms = evaluation.feedback(side(spark, sf, "bm25_norm"), texts, queries, top_terms=2)
+    asked = evaluation.feedback_queries(queries.select("query_id", F.lit("").alias("text")), terms)
+    again = postings.search_batch(index(spark, sf), fulltext.phrase_rows(asked), 30)
+    return rounded(fusion.linear(again, side(spark, sf, "bm25_norm"), 10, 1 - evaluation.PRF_WEIGHT))
+
+
+# ---- files of evaluations -------------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str, form: str) -> str:
+    folder = f"{shared_folder(spark)}/{name}"
+    df.write.mode("overwrite").format(form).save(folder)
+    return folder
+
+
+def corpus_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus written as JSON lines and read back."""
+    rows = table(spark, sf, "corpus_doc")
+    back = beir.read_corpus(spark, _written(spark, rows, "corpus", "json"))
+    return back.select("_id", F.md5("title").alias("title"), F.md5("text").alias("text"))
+
+
+def queries_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "eval_item").where("text is not null").select(F.col("item_id").alias("_id"), "text", "lang")
+    return beir.read_queries(spark, _written(spark, rows, "queries", "json"))
+
+
+def qrels_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """Judgments written as tab-separated lines, read back and joined with the queries that have one."""
+    lines = _qrels(spark, sf).select(F.concat_ws("\t", F.col("query_id"), "doc", F.col("relevance")).alias("value"))
+    qrels = beir.read_qrels(spark, _written(spark, lines, "qrels", "text"))
+    queries = _request_texts(spark, sf).select(F.col("query_id").cast("string").alias("query_id"), "text")
+    return qrels.join(beir.judged(queries, qrels).select("query_id", F.md5("text").alias("text")), "query_id")
+
+
 # ---- output ---------------------------------------------------------------------------------------
 
 
@@ -348,7 +447,7 @@ def output_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def output_json(spark: SparkSession, sf: str) -> DataFrame:
-    return output.json_lines(_results(spark, sf).drop("score"))
+    return output.json_lines(_results(spark, sf))
 
 
 def output_markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,14 +471,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_terms": _search(TERMS), "bm25_prefix": _search(PREFIXES), "bm25_phrase": _search(PHRASE), "bm25_not": _search(WITHOUT),
-    "bm25_title_weight": _search("ranking", title_weight=3.0), "bm25_min_score": _search("ranking", min_score=0.9), "bm25_porter": _search("rankings calibrated", analyzer="porter"),
+    "bm25_title_weight": _search("ranking", title_weight=3.0), "bm25_min_score": _search("ranking", min_score=0.5), "bm25_porter": _search(STEMS, analyzer="porter"),
 } | {
     f.__name__: f
     for f in (
         content_dedup, snapshot_diff, update_counts, updated_documents, new_content, title_extract, chunks, unembedded, unembedded_by_model, orphaned_vectors, kept_vectors,
-        upserted_chunk_map, embed_chunks, collection_status, term_df, bm25_multi_collection, bm25_snippets, bm25_batch, knn_topk, knn_batch, vector_search, vector_width,
-        l2_normalize, score_fusion, rrf_fusion, subquery_rrf, strong_signal_fused, strong_signal_bm25, min_score_limit, adaptive_alpha, rerank_blend, rerank_cache_split,
-        cache_keys, query_expansion, prompts, ndcg_recall, mean_metrics, paired_t_test, tune_alpha, tune_rerank, prf_terms, prf_queries, output_csv, output_json,
+        upserted_chunk_map, embed_chunks, collection_status, term_df, fulltext_index, bm25_scan, bm25_multi_collection, bm25_snippets, bm25_batch, knn_topk, knn_batch, vector_search, vector_width,
+        l2_normalize, score_fusion, rrf_fusion, subquery_rrf, strong_signal_fused, strong_signal_bm25, min_score_limit, adaptive_alpha, expanded_fusion, hybrid_pipeline, rerank_blend, rerank_cache_split,
+        cache_keys, query_expansion, prompts, ndcg_recall, mean_metrics, paired_t_test, tune_alpha, tune_rerank, prf_terms, prf_queries, prf_fusion, corpus_jsonl, queries_jsonl, qrels_tsv, output_csv, output_json,
         output_markdown, p7_pending, p7_found,
     )
 }

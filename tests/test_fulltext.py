@@ -7,7 +7,8 @@ import pytest
 
 from larkspur.errors import InvalidQuery
 from larkspur.functions.analysis import fold, porter, stemmed
-from larkspur.operators import fulltext
+from larkspur.operators import fulltext, postings
+from larkspur.operators.ingest import SnapshotStore
 from larkspur.operators.fulltext import Phrase, parse_query
 
 
@@ -65,16 +66,71 @@ def test_ranking_against_sqlite(spark, corpus, query):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
-def test_batch_equals_single(spark, corpus):
+@pytest.mark.parametrize("many", [False, True])
+def test_batch_equals_single(spark, corpus, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(postings, "MANY", 2)
     docs = spark.createDataFrame([("c" if i % 3 else "d", p, t, b, "0123456789") for i, (p, t, b) in enumerate(corpus)], "collection string, path string, title string, body string, hash string")
-    texts = ["run", '"half open"', "rust -map", "ca do", "-x"]
+    texts = ["run", '"half open"', "rust -map", "ca do", "-x", '"run run" -"cat', "o", 'rust ?', "half-op", "path"]
     asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-    got = fulltext.search_batch(docs, fulltext.phrase_rows(asked), 1000).collect()
+    index = postings.Index.of(docs)
+    got = postings.search_batch(index, fulltext.phrase_rows(asked), 1000).collect()
     for i, text in enumerate(texts):
         have = {(r["collection"], r["path"]): r["score"] for r in got if r["query_id"] == i}
         want = {} if text == "-x" else {(r["collection"], r["path"]): r["score"] for r in fulltext.matches(docs, parse_query(text)).collect()}
         assert have.keys() == want.keys()
         assert all(abs(have[k] - want[k]) < 1e-9 for k in want)
+        if text != "-x" and not many:
+            one = {(r["collection"], r["path"]): r["score"] for r in postings.matches(index, text).collect()}
+            assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("analyzer", ["simple", "porter"])
+def test_stored_index(spark, corpus, tmp_path, analyzer, monkeypatch):
+    """Segments, changed and removed documents, and the merge answer like a scan of the current texts."""
+    monkeypatch.setattr(postings, "SEGMENTS", 3)
+    schema = "collection string, path string, title string, body string, hash string"
+    now = {p: ("c" if i % 3 else "d", p, t, b, f"{i:08d}") for i, (p, t, b) in enumerate(corpus)}
+    now["null"] = ("c", "null", None, None, "00000000")
+    store = postings.IndexStore(SnapshotStore(spark, f"file://{tmp_path}/index"), analyzer)
+    assert store.index() is None
+    store.add(spark.createDataFrame(list(now.values()), schema))
+    for step in range(2):
+        changed = {p: (*row[:3], "mapping the rust " * (step + 1), row[4]) for p, row in list(now.items())[step * 5 : step * 5 + 10]}
+        lost = list(now)[30 + step * 3 : 33 + step * 3]
+        gone = spark.createDataFrame([now[p][:2] for p in [*changed, *lost]], "collection string, path string")
+        store.add(spark.createDataFrame(list(changed.values()), schema), gone)
+        now = {p: r for p, r in (now | changed).items() if p not in lost}
+        docs, index = spark.createDataFrame(list(now.values()), schema), store.index()
+        for text in ('"mapping" rust', '"half open"', "rust -cat", "run"):
+            want = {(r["collection"], r["path"]): r["score"] for r in fulltext.matches(docs, parse_query(text, analyzer), analyzer).collect()}
+            have = {(r["collection"], r["path"]): r["score"] for r in postings.matches(index, text).collect()}
+            assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+    assert len(store.store.current()[f"postings_{analyzer}"]) == 1  # merged
+    plan = postings.matches(store.index(), '"mapping"')._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1][:60]
+    top = postings.search(store.index(), "rust", 5, bodies=docs).collect()
+    assert len(top) == 5 and all("<b>" in r["snippet"] for r in top) and [r["score"] for r in top] == sorted((r["score"] for r in top), reverse=True)
+
+
+def test_two_writers(spark, corpus, tmp_path):
+    from larkspur.errors import Conflict
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/index")
+    rows = spark.range(3)
+    base = store.version()
+    store.commit({"a": rows})
+    with pytest.raises(Conflict):
+        store.commit({"a": rows}, base=base)
+    with pytest.raises(Conflict):
+        store._publish(store.version(), {})
+    store.commit(appended={"a": rows})
+    assert store.read("a").count() == 6
+    store.commit({"a": rows})
+    store.clean()
+    assert store.read("a").count() == 3 and len(store.current()["a"]) == 1
+    store.wipe()
+    assert store.read("a") is None
 
 
 def test_no_tokens_match_nothing(spark, corpus):
