@@ -224,6 +224,33 @@ def test_marking_twice(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path)).count() == 1
 
 
+def test_failed_run_neither_skips_nor_repeats(spark, tmp_path):
+    t = lambda d: datetime.datetime(2025, 5, d)
+    schema = "doc_id long, hash string, modified_at timestamp, active int"
+    docs = spark.createDataFrame([(1, "a", t(1), 1), (2, "b", t(9), 1), (3, "c", t(9), 1)], schema)
+    runs = spark.createDataFrame([(t(4), None, "failed"), (t(6), t(6), "ok")], "started_at timestamp, finished_at timestamp, status string")
+    vectors = spark.createDataFrame([("c", t(3))], "hash string, embedded_at timestamp")
+    seen = []
+
+    def fails(batch):
+        seen.extend(r["doc_id"] for r in batch.collect())
+        raise RuntimeError("lost")
+
+    folder = str(tmp_path / "ledger")
+    with pytest.raises(RuntimeError):
+        incremental.run_once(docs, vectors, runs, folder, "r1", fails)
+    assert sorted(seen) == [1, 2] and incremental.marked(spark, folder).count() == 0
+    good = lambda batch: seen.extend(r["doc_id"] for r in batch.collect())
+    seen.clear()
+    assert incremental.run_once(docs, vectors, runs, folder, "r2", good, sweep=False) == 1 and seen == [2]
+    assert incremental.run_once(docs, vectors, runs, folder, "r3", good) == 1 and seen == [2, 1]
+    assert incremental.run_once(docs, vectors, runs, folder, "r4", good) == 0
+    later = docs.unionByName(spark.createDataFrame([(2, "b2", t(10), 1)], schema))  # a new version of a marked record
+    assert incremental.run_once(later, vectors, runs, folder, "r5", good) == 1 and seen == [2, 1, 2]
+    plan = incremental.pending(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), vectors, runs, sweep=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Or(IsNull(modified_at),GreaterThanOrEqual" in plan.split("PushedFilters")[1]
+
+
 # ---- expansion, reranking
 
 
