@@ -516,3 +516,27 @@ def test_forms_are_stable(text):
     once = visual.same_look(text)
     assert visual.same_look(once) == once
     assert visual.consistent(visual.consistent(text)) == visual.consistent(text)
+
+
+LOOKS = [c for c in visual.FIXED] + list("abnvyuilABNVYUIL éŉ²ﬁΆάΰﾠＡ\u0301\u0308\u200b\u00a0\u3000\u00ad𝐀ᴬßẞİıſ")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from(LOOKS), max_size=12), st.randoms(use_true_random=False))
+def test_same_look_meets(text, r):
+    """Whatever leaves the look as it is leaves the comparison form as it is."""
+    own = visual.forms()
+    back = defaultdict(list)
+    for c, t in visual.FIXED.items():
+        back[t].append(c)
+    other = "".join(r.choice(back[c]) if c in back and r.random() < 0.5 else c for c in unicodedata.normalize(r.choice(["NFC", "NFD"]), own.same_look(text)))
+    if own.same_look(other) == own.same_look(text):
+        assert own.comparison(other) == own.comparison(text)
+
+
+def test_look_alikes_of_all_scripts(spark):
+    letters = visual.look_alikes(spark)
+    assert {"Ꭺ": "A", "ꓮ": "A", "ⲟ": "o", "ɡ": "g", "ɑ": "a", "а": "a", "Ӏ": "I", "Ο": "O", "օ": "o"}.items() <= letters.items()
+    assert all(t.isascii() and t.isalpha() for t in letters.values()) and not any(c.isascii() for c in letters)
+    df = spark.createDataFrame([(1, "Apogee"), (2, "ꓮpoɡee"), (3, "apogee"), (4, "Ap\u2c9fgee")], "doc_id long, text string")
+    assert pairs(visual.same_look_pairs(df)) == {(1, 2), (1, 4), (2, 4)}
