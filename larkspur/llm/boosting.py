@@ -8,11 +8,12 @@ import numpy as np
 class BoostedTrees:
     """Logistic boosting with depth-limited trees over binned features.
 
-    Trees are complete binary trees in arrays: node ``i`` has the children ``2i + 1`` and ``2i + 2``.
+    Trees are complete binary trees in arrays: node ``i`` has the children ``2i + 1`` and ``2i + 2``.  Each tree's cuts are chosen on a
+    random ``share`` of the rows, its leaves' values on all of them.
     """
 
-    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 2.0) -> None:
-        self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 2.0, share: float = 0.4) -> None:
+        self.trees, self.depth, self.rate, self.bins, self.least, self.share = trees, depth, rate, bins, least, share
         self.feature = np.zeros((0, 2**depth - 1), np.int32)
         self.cut = np.zeros((0, 2**depth - 1))
         self.value = np.zeros((0, 2**depth))
@@ -25,15 +26,17 @@ class BoostedTrees:
         self.base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
         margin = np.full(n, self.base)
         features, cuts, values = [], [], []
+        rng = np.random.default_rng(7)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
             gradient, weight = y - p, p * (1 - p)
             node = np.zeros(n, np.int64)
+            drawn = rng.random(n) < (self.share if n > 2000 else 1)
             feature, cut = np.zeros(2**self.depth - 1, np.int32), np.full(2**self.depth - 1, np.inf)
             for level in range(self.depth):
                 first = 2**level - 1
                 for k in range(2**level):
-                    rows = np.flatnonzero(node == first + k)
+                    rows = np.flatnonzero((node == first + k) & drawn)
                     if len(rows) >= 2:
                         f, b = self._best(binned[rows], gradient[rows], weight[rows])
                         if f >= 0:

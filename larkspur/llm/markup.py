@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .examples import PLAIN, PLAIN_LINES
 
 #: Training texts that the classifier is fitted on; each is written and labelled by a grammar.
-TRAINING_TEXTS = 2500
+TRAINING_TEXTS = 4000
 
 # Element names of HTML, and commands of LaTeX, that are common in text.
 HTML_NAMES = frozenset(
@@ -66,47 +67,92 @@ _INLINE = re.compile(
     r"""
     (?P<comment><!--(?:.*?-->|[^\n]*))
   | (?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|<[A-Za-z][A-Za-z0-9]*\s+[A-Za-z-]+=["'][^<>\n]*|</[A-Za-z][A-Za-z0-9]*)
-  | (?P<entity>&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{0,30});)
-  | (?P<formula>\$\$[^$]+\$\$|\$(?![\s$])[^$\n]{0,200}?(?<![\s$])\$(?!\d)|\\\([^\n]{0,400}?\\\)|\\\[.{0,400}?\\\])
+  | (?P<entity>&(?:\#\d+|\#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)
+  | (?P<formula>\$\$[^$]+\$\$|\$(?![\s$])[^$\n]*?(?<![\s$])\$(?!\d))
   | (?P<environment>\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?)
   | (?P<command>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{?)
-  | (?P<quoted>``(?=[^\s`]).{1,400}?'')
   | (?P<code>`[^`\n]+`)
   | (?P<wikilink>\[\[[^\[\]\n]*\]\]|\[\[(?=\w))
   | (?P<template>\{\{[^{}]*\}\}|\{\{(?=\w)|(?<=\w)\}\})
   | (?P<image>!\[[^\]\n]*\]\([^()\n]*\)|!\[[^\]\n]*\]\[[^\]\n]*\])
   | (?P<footnote>\[\^[^\]\s]+\]:?)
   | (?P<link>\[[^\[\]\n]+\]\([^()\s]*(?:[ ]"[^"\n]*")?\)|\[[^\[\]\n]+\]\([^()\s]*$|\[https?://[^\]\n]+\])
-  | (?P<strong>\*\*(?=\S)(?:[^*\n]|\n(?!\n)){1,400}?(?<=\S)\*\*|(?<!\w)__(?=\S)(?:[^_\n]|\n(?!\n)){1,400}?(?<=\S)__(?!\w)|(?<!\w)(?:\*\*|__)(?=\w)|(?<=\w)\*\*(?!\w))
-  | (?P<strike>~~(?=\S)(?:[^~\n]|\n(?!\n)){1,400}?(?<=\S)~~|~~(?=\w))
-  | (?P<wikiemphasis>'{3}(?=\S).{1,400}?'{3}|''(?=[^\s']).{1,400}?''(?!')|'{3}(?=\w))
-  | (?P<emphasis>(?<![\w*])\*(?=[^\s*])(?:[^*\n]|\n(?!\n)){0,400}?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])(?:[^_\n]|\n(?!\n)){0,400}?(?<=[^\s_])_(?![\w_]))
-  | (?P<weak><\d[\w.]*|<-|->|\$\d[\d.,]*|(?<=\s)==?(?=\s)|_\w*|\*\)|\#\d+|~\d+%?|:\\[\w\\]*|(?<=\w)\[\d+\]|\(see\ \[\d+\]\)|\^\d+|(?<=\w)&\w(?!\w*;)|\{[^{}\n]{0,40}\}|(?<=\s)\|(?=\s)|(?<=\s)[*<>](?=\s)|`)
+  | (?P<strong>\*\*(?=\S)(?:[^*\n]|\n(?!\n))+?(?<=\S)\*\*|(?<!\w)__(?=\S)(?:[^_\n]|\n(?!\n))+?(?<=\S)__(?!\w)|(?<!\w)(?:\*\*|__)(?=\w)|(?<=\w)\*\*(?!\w))
+  | (?P<strike>~~(?=\S)(?:[^~\n]|\n(?!\n))+?(?<=\S)~~|~~(?=\w))
+  | (?P<wikiemphasis>'{3}(?=\w))
+  | (?P<emphasis>(?<![\w*])\*(?=[^\s*])(?:[^*\n]|\n(?!\n))*?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])(?:[^_\n]|\n(?!\n))*?(?<=[^\s_])_(?![\w_]))
+  | (?P<weak><[-=<]*\d*|[-=]+>|\$\d*|={1,3}|_\w*|\*+|\#+\d*|~+\d*|\\\W?|\[|\^|&\w?|\{+|\}+|\||>|`+|''?)
 """,
     re.X | re.M | re.S,
 )
 #: Places at which one of the two is worth trying.
-_TRIGGER = re.compile(r"^(?=[ \t]*[`~{|=#:>!*+\-\d])|[<&$\\`{*_~\[]|\}\}|''|!\[|:\\|->|\(see \[|\^\d|(?<=\s)[=|>]|#\d", re.M)
+_TRIGGER = re.compile(r"^(?=[ \t]*[`~{|=#:>!*+\-\d])|[<&$\\`{*_~\[]|\}\}|''|!\[|[-=]>|\^|(?<=\s)[=|>]|#", re.M)
 _SETEXT = re.compile(r"^[^\n]*\S[^\n]*\n(?:={3,}|-{3,})[ \t]*$", re.M)
 
 
-def _finds(text: str, begin: int, stop: int) -> Iterator[tuple[str, int, int]]:
+#: Constructs that end with their own closing sign, however far it is within the paragraph.
+_PAIRED = (("``", "''", "quoted"), ("'''", "'''", "wikiemphasis"), ("''", "''", "wikiemphasis"), ("\\(", "\\)", "formula"), ("\\[", "\\]", "formula"))
+
+
+class _Text:
+    """A text with what is looked up in it again and again, each found once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self._next: dict[str, int] = {}
+        self._braces: dict[int, int] | None = None
+
+    def following(self, sign: str, at: int) -> int:
+        """Where ``sign`` next stands from ``at`` on, the text's length if nowhere; calls come with rising places."""
+        known = self._next.get(sign, -1)
+        if known < at:
+            known = self.text.find(sign, at)
+            self._next[sign] = known = len(self.text) if known < 0 else known
+        return known
+
+    def closed(self, start: int, stop: int) -> tuple[str, int] | None:
+        """(kind, end) of a construct of ``_PAIRED`` that starts here."""
+        for opening, closing, kind in _PAIRED:
+            if self.text.startswith(opening, start):
+                inside = start + len(opening)
+                first = self.text[inside : inside + 1]
+                if kind != "formula" and (not first or first.isspace() or first == opening[0]):
+                    continue
+                end = self.following(closing, inside + (kind != "formula")) + len(closing)
+                if end <= min(stop, self.following("\n\n", inside)):
+                    return kind, end
+        return None
+
+    def brace(self, at: int) -> int | None:
+        """The closing brace of the opening one at ``at``."""
+        if self._braces is None:
+            self._braces, waiting = {}, []
+            for m in re.finditer(r"\\[\s\S]|[{}]", self.text):
+                if m[0] == "{":
+                    waiting.append(m.start())
+                elif m[0] == "}" and waiting:
+                    self._braces[waiting.pop()] = m.start()
+        return self._braces.get(at)
+
+
+def _finds(known: _Text, begin: int, stop: int) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of what may be a construct, none inside another."""
+    text = known.text
     underlined = {m.start(): m for m in _SETEXT.finditer(text, begin, stop)} if "\n===" in text or "\n---" in text else {}
     at = begin
     for place in sorted(underlined):
-        for find in _between(text, at, place, stop):
+        for find in _between(known, at, place, stop):
             yield find
             at = max(at, find[2])
         if place >= at:
             yield "setext", place, underlined[place].end()
             at = underlined[place].end()
-    yield from _between(text, at, stop, stop)
+    yield from _between(known, at, stop, stop)
 
 
-def _between(text: str, begin: int, until: int, stop: int) -> Iterator[tuple[str, int, int]]:
+def _between(known: _Text, begin: int, until: int, stop: int) -> Iterator[tuple[str, int, int]]:
     """Finds that start in ``text[begin:until]``; they may end up to ``stop``."""
-    done = begin
+    text, done = known.text, begin
     for trigger in _TRIGGER.finditer(text, begin, stop):
         start = trigger.start()
         if start >= until:
@@ -116,6 +162,10 @@ def _between(text: str, begin: int, until: int, stop: int) -> Iterator[tuple[str
         m = None
         if start == 0 or text[start - 1] == "\n":
             m = _LINE.match(text, start, stop)
+        if m is None and (pair := known.closed(start, stop)) is not None:
+            yield pair[0], start, pair[1]
+            done = pair[1]
+            continue
         m = m or _INLINE.match(text, start, stop)
         if m is not None and m.end() > start:
             yield {"f": "fence", "w": "wikiheading"}.get(m.lastgroup, m.lastgroup), start, m.end()
@@ -123,19 +173,22 @@ def _between(text: str, begin: int, until: int, stop: int) -> Iterator[tuple[str
 
 
 _ANY = re.compile(r"[<>&$\\`\[\]{}|=#*_~']|^\s*(?:[-+>]|\d{1,3}[.)])\s|^-{3,}", re.M)
-_ATTRIBUTE = re.compile(r"[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+# Attribute names that are common in HTML, and special names of Python.
+ATTRIBUTES = frozenset("class id style href src alt title name rel target width height lang dir type value content colspan rowspan align valign border color size face data aria role action method".split())
+SPECIAL = frozenset("init main name str repr len call enter exit iter next new del doc all file dict slots version getitem setitem contains eq hash kwargs kw args opts options".split())
 _NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)|\\([A-Za-z]+)|&([#\w]+);")
 
 
 class Node:
     """A possible construct: ``text[start:open_end]`` opens it, ``text[close_start:end]`` closes it."""
 
-    __slots__ = ("attributes", "children", "close_start", "closed", "end", "kind", "known", "name", "open_end", "parent", "start")
+    __slots__ = ("attribute_names", "attribute_values", "attributes", "children", "close_start", "closed", "end", "kind", "known", "name", "open_end", "parent", "start")
 
     def __init__(self, kind: int, start: int, end: int, name: str = "") -> None:
         self.kind, self.start, self.end, self.name = kind, start, end, name
         self.open_end = self.close_start = end
-        self.closed, self.known, self.attributes = True, False, 0
+        self.closed, self.known, self.attributes, self.attribute_names, self.attribute_values = True, False, 0, 0, 0
         self.parent: Node | None = None
         self.children: list[Node] = []
 
@@ -143,8 +196,10 @@ class Node:
 _WRAPS = {"strong": 2, "strike": 2, "quoted": 2, "emphasis": 1, "code": 1}
 
 
-def _scan(text: str, begin: int, stop: int, out: list[Node]) -> None:
-    for group, start, end in _finds(text, begin, stop):
+def _scan(known: _Text, begin: int, stop: int, out: list[Node]) -> None:
+    # What is inside a find is scanned after all that is beside it: places then rise within each pass.
+    text, inner = known.text, []
+    for group, start, end in _finds(_Text(text), begin, stop):
         found = text[start:end]
         node = Node(KIND[group], start, end)
         out.append(node)
@@ -152,7 +207,9 @@ def _scan(text: str, begin: int, stop: int, out: list[Node]) -> None:
             node.name = (name[1] or name[2] or name[3]).lower()
         if group == "tag":
             node.known = node.name in HTML_NAMES
-            node.attributes = len(_ATTRIBUTE.findall(found))
+            tokens = _ATTRIBUTE.findall(found)
+            node.attributes, node.attribute_names = len(tokens), sum(name.lower().partition("-")[0] in ATTRIBUTES for name, _ in tokens)
+            node.attribute_values = sum(value[0] in "\"'" for _, value in tokens)
             node.closed = found.endswith("/>") or node.name in VOID
             if not found.endswith(">"):
                 node.attributes -= 1
@@ -163,13 +220,9 @@ def _scan(text: str, begin: int, stop: int, out: list[Node]) -> None:
             node.closed = found.endswith("{")
             if node.closed:
                 node.open_end = end
-                at, depth = end, 1
-                limit = min(stop, end + 2000)
-                while at < limit and depth:
-                    depth += (text[at] == "{") - (text[at] == "}")
-                    at += 1
-                if not depth:
-                    node.end, node.close_start = at, at - 1
+                close = known.brace(end - 1)
+                if close is not None and close < stop:
+                    node.end, node.close_start = close + 1, close
                 else:
                     node.end = node.close_start = end
         elif group == "environment":
@@ -177,14 +230,15 @@ def _scan(text: str, begin: int, stop: int, out: list[Node]) -> None:
         elif group in _WRAPS or group == "wikiemphasis":
             width = _WRAPS.get(group) or (3 if found.startswith("'''") else 2)
             node.closed = len(found) > 2 * width
+            node.known = found.strip("*_") in SPECIAL or not node.closed and re.match(r"\w*", text[end:])[0] in SPECIAL
             if node.closed:
                 node.open_end, node.close_start = start + width, end - width
                 if group != "code":
-                    _scan(text, node.open_end, node.close_start, out)
+                    inner.append((node.open_end, node.close_start))
         elif group == "link" and found.startswith("[") and "](" in found:
             node.open_end, node.close_start = start + 1, start + found.index("](")
             node.closed = found.endswith(")")
-            _scan(text, node.open_end, node.close_start, out)
+            inner.append((node.open_end, node.close_start))
         elif group in ("heading", "wikiheading", "setext", "tablerow"):
             lead = len(found) - len(found.lstrip("#= \t|!"))
             if group == "setext":
@@ -193,9 +247,11 @@ def _scan(text: str, begin: int, stop: int, out: list[Node]) -> None:
                 node.open_end, node.close_start = start + lead, start + len(found.rstrip("= \t"))
             else:
                 node.open_end, node.close_start = start + lead, end
-            _scan(text, node.open_end, node.close_start, out)
+            inner.append((node.open_end, node.close_start))
         elif group in ("template", "wikilink", "comment"):
             node.closed = found.endswith(("}}", "]]", "-->")) and len(found) > 2
+    for a, b in inner:
+        _scan(known, a, b, out)
 
 
 def parse(text: str) -> list[Node]:
@@ -203,7 +259,7 @@ def parse(text: str) -> list[Node]:
     nodes: list[Node] = []
     if not _ANY.search(text):
         return nodes
-    _scan(text, 0, len(text), nodes)
+    _scan(_Text(text), 0, len(text), nodes)
     nodes.sort(key=lambda n: (n.start, -n.end))
     waiting: dict[str, list[Node]] = {}
     for n in nodes:
@@ -235,13 +291,27 @@ def parse(text: str) -> list[Node]:
     return nodes
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Per code point: letter, digit, sign of a formula."""
+    out = np.zeros((3, 0x110000), bool)
+    chars = [chr(c) for c in range(0x110000)]
+    out[0], out[1] = [c.isalpha() for c in chars], [c.isdigit() for c in chars]
+    out[2, [ord(c) for c in "\\^_{}=+"]] = True
+    return out
+
+
 def features(text: str, nodes: list[Node]) -> np.ndarray:
-    """A row per node: kind, closing, attributes, surroundings, depth, siblings, subtree."""
+    """A row per node: kind, closing, attribute tokens, surroundings, inside, depth, siblings, subtree density."""
     tops = [n for n in nodes if n.parent is None]
     of_kind = np.bincount([n.kind for n in nodes], minlength=len(KINDS))
-    rows = np.zeros((len(nodes), len(KINDS) + 20))
+    rows = np.zeros((len(nodes), len(KINDS) + 28))
     depth: dict[int, int] = {}
     below: dict[int, int] = {}
+    # How many letters, digits and formula signs come before each place: a node's whole inside counts, however long.
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sums = np.zeros((3, len(codes) + 1), np.int64)
+    np.cumsum(_classes()[:, codes], axis=1, out=sums[:, 1:])
     for n in reversed(nodes):
         below[id(n)] = sum(1 + below[id(c)] for c in n.children)
     for row, n in zip(rows, nodes, strict=True):
@@ -249,15 +319,13 @@ def features(text: str, nodes: list[Node]) -> np.ndarray:
         siblings = n.parent.children if n.parent else tops
         before = text[n.start - 1] if n.start else "\n"
         after = text[n.end] if n.end < len(text) else "\n"
-        inner = text[n.open_end : n.close_start] if n.close_start > n.open_end else text[n.start : n.end]
-        sample = inner[:200]
+        a, b = (n.open_end, n.close_start) if n.close_start > n.open_end else (n.start, n.end)
+        inside = (sums[:, b] - sums[:, a]) / max(1, b - a)
         length = max(1, n.end - n.start)
         row[n.kind] = 1
         row[len(KINDS) :] = (
-            n.closed, n.known, n.attributes, before.isalnum(), before.isspace(), before == ":", after.isalnum(), after.isspace(),
-            sample[:1].isspace(), sample[-1:].isspace(), sum(c.isalpha() for c in sample) / max(1, len(sample)), sum(c.isdigit() for c in sample) / max(1, len(sample)),
-            sum(c in "\\^_{}=+" for c in sample) / max(1, len(sample)), np.log1p(length), d, np.log1p(len(siblings)), np.log1p(of_kind[n.kind]),
-            below[id(n)] / length * 100, np.log1p(len(n.children)), n.parent.kind if n.parent else -1,
+            n.closed, n.known, n.attributes, n.attribute_names, n.attribute_values, before.isalnum(), before.isspace(), before in ":\\/", before in "([{<", before == "\n", after.isalnum(), after.isspace(), after in "([{<", after in "\\/.;:",
+            text[a].isspace(), text[b - 1].isspace(), text[a].isalnum(), text[b - 1].isalnum(), *inside, np.log1p(length), d, np.log1p(len(siblings)), np.log1p(of_kind[n.kind]), below[id(n)] / length * 100, np.log1p(len(n.children)), n.parent.kind if n.parent else -1,
         )
     return rows
 
@@ -307,14 +375,15 @@ def _sentence(r: random.Random) -> str:
 def _construct(r: random.Random) -> tuple[str, bool]:
     """A piece of markup and whether it needs lines of its own."""
     w, ws, n = _word(r), _words(r), r.randint(1, 99)
+    any_ = r.choice([ws, ws, ws, str(n), f"{ws},", f"{w} {n}"])
     tag = r.choice("b i em strong sup sub span code p div u small td li h2 h3 SPAN".split())
     attribute = r.choice([f' class="{w}"', f" CLASS={w}", f' id="{n}"', f" style='{w}: {n}px'", ""])
     inline = [
-        f"<{tag}{attribute}>{ws}</{tag}>", f'<a href="https://{w}.org/{n}">{ws}</a>', "<br>", "<br/>", f"<img src='{w}.png' alt=''/>", f"<{tag}{attribute}>", f"</{tag}>", f"<!-- {ws} -->",
+        f"<{tag}{attribute}>{any_}</{tag}>", f'<a href="https://{w}.org/{n}">{ws}</a>', "<br>", "<br/>", f"<img src='{w}.png' alt=''/>", f"<{tag}{attribute}>", f"</{tag}>", f"<!-- {ws} -->",
         r.choice(["&amp;", "&lt;", "&gt;", "&nbsp;", "&quot;", "&eacute;", "&mdash;"]), f"&#{r.randint(32, 9000)};", f"&#x{r.randint(32, 9000):x};", f'<ref name="{w}"/>', f"<ref>{ws}</ref>",
-        f"**{ws}**", f"__{ws}__", f"*{ws}*", f"_{ws}_", f"~~{ws}~~", f"`{ws}`", f"`{w}_{n}`", f"[{ws}]({w}.md)", f"[{ws}](https://{w}.org/{n})", f"![{ws}](img/{n}.png)", f"[^{n}]",
-        f"[[{ws}]]", f"[[{w}|{ws}]]", f"[[Category:{w}]]", f"[[File:{w}.svg|thumb|{ws}]]", f"{{{{cite {w}|title={ws}|page={n}}}}}", f"'''{ws}'''", f"''{ws}''", f"[https://{w}.org {ws}]",
-        f"\\textbf{{{ws}}}", f"\\emph{{{ws}}}", f"\\cite{{{w}{n}}}", f"~\\ref{{sec:{w}}}", f"\\footnote{{{ws}}}", f"``{ws}''", f"\\label{{{w}}}", f"\\{r.choice(['textit', 'texttt', 'url', 'eqref'])}{{{w}}}",
+        f"**{any_}**", f"__{any_}__", f"*{any_}*", f"_{any_}_", f"~~{any_}~~", f"`{any_}`", f"`{w}_{n}`", f"[{any_}]({w}.md)", f"[{ws}](https://{w}.org/{n})", f"![{ws}](img/{n}.png)", f"[^{n}]",
+        f"[[{any_}]]", f"[[{w}|{any_}]]", f"[[Category:{w}]]", f"[[File:{w}.svg|thumb|{ws}]]", f"{{{{cite {w}|title={ws}|page={n}}}}}", f"'''{any_}'''", f"''{any_}''", f"[https://{w}.org {ws}]",
+        f"\\textbf{{{any_}}}", f"\\emph{{{any_}}}", f"\\cite{{{w}{n}}}", f"~\\ref{{sec:{w}}}", f"\\footnote{{{ws}}}", f"``{any_}''", f"\\label{{{w}}}", f"\\{r.choice(['textit', 'texttt', 'url', 'eqref'])}{{{w}}}",
         f"${r.choice('xyznk')}_{{{n}}}^{{2}}$", f"${w[0]} = {n}$", f"$\\alpha \\leq {n}$", f"\\(\\beta_{n} + 1\\)", f"\\[ \\frac{{a}}{{n+{n}}} \\]", f"$$ \\sum_i x_i = {n} $$",
         f"<b>{ws}", f"**{ws}", f"[{ws}]({w}", f"{{{{{w} {n}", f"<a href=\"https://{w}.org", f"\\textbf{{{ws}", f"&lt;{tag}&gt;{ws}&lt;/{tag}&gt;",
     ]
@@ -329,26 +398,22 @@ def _construct(r: random.Random) -> tuple[str, bool]:
     return r.choice(inline), False
 
 
-def _plain(r: random.Random) -> tuple[str, bool]:
-    """Signs as plain text."""
-    w, n, m = _word(r), r.randint(1, 99), r.randint(1, 99)
-    inline = [
-        f"x <- y -> {w[0]}", f"== {n}", f"= {n}", f"${n} or ${m}", f"${n}", f"<{n} {w}", f"<{n}", f"(a < b and c > {n})", f"{n} > {m}", f"R&D", f"{w[0].upper()}&{w[-1].upper()};", f"{w} & {w}", f"{n} * {m} * 2", f"*) {w}", f"* {w}",
-        f"_{w}", f"{w}_{_word(r)}_{n}", f"{w}_{n}", f"~{n}%", f"~{n}", f"#{n}", f"#{w}", f"{w}[{n}]", f"(see [{n}])", f"[{n}]", f"[{w}]", f"2^{n}", f"{{{w[0]}, {w[-1]}}}", f"C:\\{w}\\{w.capitalize()}", f"C#", f"{n} | {m}", f"{w}\\{w}",
-        f"{w}'s", f"'{w}'", f"a ~ b", f"{w} -- {w}", f"${n}k–${m}k", f"{w}=={n}", f"i_{n}", f"<3", f"->", f"{w[0]}|{w[-1]}", f"@{w}", f"5 < {n} & {m} > 2", f"{w}__{w}", f"&{w}", f"`{w}", f"{w}* and {w}*", f"{n}$ + {m}$",
-    ]
-    block = [f"- {w} {n}", f"{n}. {w}", f"* {_words(r)}", f"-- {w}", f"+ {_words(r)}"]
-    return (r.choice(block), True) if r.random() < 0.1 else (r.choice(inline), False)
+def _plain(r: random.Random, sources: Sequence[str]) -> tuple[str, bool]:
+    """Signs as plain text, of one of the sources."""
+    own = r.random() < 0.1
+    line = r.choice(PLAIN_LINES if own else PLAIN[r.choice(sources)])
+    fill = {"w": lambda: _word(r) if r.random() < 0.7 else _word(r).capitalize(), "ws": lambda: _words(r), "n": lambda: str(r.randint(0, 999)), "m": lambda: str(r.randint(0, 99)), "c": lambda: r.choice("abcdefghijklmnopqrstuvwxyzABCXYZ")}
+    return re.sub(r"\{(ws|w|n|m|c)\}", lambda m: fill[m[1]](), line).replace("{{", "{").replace("}}", "}"), own
 
 
-def training_text(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
-    """A text with markup and plain signs, and where its markup lies."""
+def training_text(r: random.Random, sources: Sequence[str] = tuple(PLAIN)) -> tuple[str, list[tuple[int, int]]]:
+    """A text with markup and plain signs of the sources, and where its markup lies."""
     out, spans, size = [], [], 0
     for _ in range(r.randint(2, 6)):
         parts: list[tuple[str, bool]] = [(_sentence(r) if r.random() < 0.5 else _words(r, 3, 9), False)]
         for _ in range(r.randint(0, 2)):
-            make, positive = (_construct, True) if r.random() < 0.5 else (_plain, False)
-            piece, own = make(r)
+            positive = r.random() < 0.5
+            piece, own = _construct(r) if positive else _plain(r, sources)
             if own:
                 parts += [("\n", False), (piece, positive), ("\n", False)]
             else:
@@ -362,12 +427,12 @@ def training_text(r: random.Random) -> tuple[str, list[tuple[int, int]]]:
 
 
 @lru_cache(maxsize=2)
-def classifier(texts: int = TRAINING_TEXTS) -> BoostedTrees:
-    """Trees fitted on ``texts`` written texts, always the same."""
+def classifier(texts: int = TRAINING_TEXTS, sources: tuple[str, ...] = tuple(PLAIN)) -> BoostedTrees:
+    """Trees fitted on ``texts`` written texts, always the same; plain signs come from the sources."""
     r = random.Random(5)
     rows, labels = [], []
     for _ in range(texts):
-        text, spans = training_text(r)
+        text, spans = training_text(r, sources)
         nodes = parse(text)
         if nodes:
             rows.append(features(text, nodes))
