@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -78,7 +79,11 @@ class Forms:
         self._replaced = re.compile(f"[{_ranges(sorted(self.form))}]")
         self._foreign = re.compile(f"[{_ranges(sorted(foreign))}]" if foreign else r"(?!)")
         self._looks = re.compile("[" + INVISIBLE + _ranges(sorted(self.letters)) + "]")
-        self._classes = self._blocks(letters)
+        self._table = np.arange(0x110000, dtype=np.uint32)
+        for code, least in self._blocks(letters).items():
+            self._table[code] = ord(least)
+        # Roots of classes with an ASCII letter are ASCII, as the least of a class is its root.
+        self._ascii = bytes(self._table[:128].astype(np.uint8)) + bytes(range(128, 256))
 
     @staticmethod
     def _blocks(letters: dict[str, str]) -> dict[int, str]:
@@ -121,17 +126,24 @@ class Forms:
             form = self.same_look(form)
         return unicodedata.normalize("NFKC", form)
 
-    def comparison(self, text: str) -> str:
+    def comparison(self, text: str) -> bytes:
         """The form that texts meet in: compatibility normalisation, full case folding, one kind of space, nothing invisible, and
-        one letter for all that look alike in either case.  Texts of the same look always have the same."""
-        if not text.isascii():
-            text = _INVISIBLE.sub("", _folded(_INVISIBLE.sub("", text)))
-            text = _SPACES.sub(" ", text)
-        return unicodedata.normalize("NFKC", text.casefold().translate(self._classes))
+        one letter for all that look alike in either case.  Texts of the same look always have the same.
+
+        It is only compared, so letters are exchanged in one table lookup, and accents stay beside their letters.
+        """
+        if text.isascii():
+            return text.lower().encode().translate(self._ascii)
+        text = _SPACES.sub(" ", _INVISIBLE.sub("", _folded(_INVISIBLE.sub("", text))))
+        codes = self._table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return codes.astype(np.uint8).tobytes() if not len(codes) or codes.max() < 128 else codes.tobytes()
 
 
 def _folded(text: str) -> str:
-    return unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
+    if not unicodedata.is_normalized("NFKD", text):
+        text = unicodedata.normalize("NFKD", text)
+    text = text.casefold()
+    return text if text.isascii() or unicodedata.is_normalized("NFKD", text) else unicodedata.normalize("NFKD", text)
 
 
 def _ranges(codes: list[int]) -> str:
@@ -192,7 +204,7 @@ def look_keys(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
                 look = None if v is None else own.same_look(v)
                 shown = bool(look and look.strip())
                 for column, form in zip(out, (own.comparison(v), look, v) if shown else (None, None, None), strict=True):
-                    column.append(None if form is None else digest(form.encode("utf-8", "surrogatepass")))
+                    column.append(None if form is None else digest(form if isinstance(form, bytes) else form.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()).take(at) for c in out)], ["key", "folded", "look", "stored"])
 
     kind = documents.schema[key].dataType.simpleString()
