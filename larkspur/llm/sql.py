@@ -1,6 +1,6 @@
 """SQL twins of the subpackage's queries, for DuckDB over the same tables.
 
-Left out are those whose result no SQL over whole tables gives: token ids, chosen cut points, clean text,
+Left out are those whose result no SQL over whole tables gives: token ids, chosen pieces, clean text,
 the approximate neighbour lists, edit distances and components.  The tests compare these with brute force.
 """
 
@@ -55,6 +55,13 @@ SQL: dict[str, str] = {
       s as (select a.hash_seq as a, b.hash_seq as b, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.hash_seq <> b.hash_seq where list_cosine_similarity(a.e, b.e) >= 0.9),
       r as (select a, b, rank() over (partition by a order by c desc) as r from s)
       select x.a as hash_seq_a, x.b as hash_seq_b from r x join r y on x.a = y.b and x.b = y.a where x.a < x.b and x.r <= 5 and y.r <= 5""",
+    "p4_found": """with docs as (select distinct hash, string_split(doc, chr(10)) as ls from content where hash is not null and octet_length(encode(doc)) > 2048),
+      front as (select *, case when regexp_matches(ls[1], '^\\x{FEFF}?---[ \\t\\r]*$') then coalesce(list_min(list_filter(range(2, len(ls) + 1), lambda i: regexp_matches(ls[i], '^---[ \\t\\r]*$'))), 0) else 0 end as stop from docs),
+      marks as (select hash, ls, stop, list_transform(range(1, len(ls) + 1), lambda i: case when i > stop and (starts_with(ls[i], '```') or starts_with(ls[i], '~~~')) then ls[i][1:3] else '' end) as ms from front),
+      fences as (select *, list_reduce(list_prepend({'open': '', 'inside': []::varchar[]}, list_transform(ms, lambda m: {'open': m, 'inside': []::varchar[]})),
+        lambda s, m: {'open': case when s.open = '' then m.open when m.open = s.open then '' else s.open end, 'inside': list_append(s.inside, s.open)}).inside as inside from marks),
+      lines as (select hash, ls[i] as l, i, stop, inside[i] as fence, sum(octet_length(encode(ls[i])) + 1) over (partition by hash, ls order by i) - octet_length(encode(ls[i])) - 1 as pos from (select *, unnest(range(1, len(ls) + 1)) as i from fences))
+      select distinct hash, pos::bigint as pos from lines where pos > 0 and i > stop and fence = '' and regexp_matches(l, '^#{1,6} ')""",
     "p6_found": f"with {_SHINGLES} select hash_a, hash_b from shared join sizes x on x.hash = hash_a join sizes y on y.hash = hash_b where c >= 0.6 * (x.n + y.n - c)",
     "p9_found": f"""with {_PARTS}, ks as (select distinct k from items where k > 0),
       runs as (select distinct doc_id, k, s from (select doc_id, k, array_to_string(w[i:i + k - 1], ' ') as s from (select *, unnest(range(1, len(w) - k + 2)) as i from docs, ks)) where s in (select s from parts))

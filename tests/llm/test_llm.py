@@ -219,6 +219,11 @@ def test_split(spark):
     doc = (topic_a * 5 + "\n") * 6 + (topic_b * 5 + "\n") * 6
     ends = [b for _, b in splitting.pieces(doc.encode())]
     assert len((topic_a * 5 + "\n") * 6) in ends  # the change of topic is where it is cut
+    # One paragraph without line breaks is cut between sentences, at the change of topic.
+    for size in (1100, 1500, 2048):
+        line = "".join(topic * 24 for topic in (topic_a, topic_b, topic_a)).encode()
+        cuts = [b for _, b in splitting.pieces(line, size, 100)][:-1]
+        assert all(line[b - 2 : b] == b". " for b in cuts) and len(topic_a * 24) in cuts
     df = spark.createDataFrame([("a", doc), ("a", doc), ("b", "short"), ("c", None), (None, doc), ("d", "x" * 5000), ("e", "")], "hash string, doc string")
     got = defaultdict(list)
     for r in splitting.split(df).orderBy("key", "seq").collect():
