@@ -48,7 +48,10 @@ def test_links_of_hot_groups_stay_linear_and_connected(spark):
     assert links.linked_pairs(spark.createDataFrame([], "g string, item long"), ["g"], "item").count() == 0
 
 
-def test_hot_groups_give_every_pair(spark):
+@pytest.mark.parametrize(("block", "hot"), [(256, 100_000), (16, 50)])
+def test_hot_groups_give_every_pair(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(links, "BLOCK", block)
+    monkeypatch.setattr(links, "HOT", hot)
     same = spark.createDataFrame([(f"h{i:03d}", "Text" + " " * i + "one") for i in range(200)], "hash string, doc string")
     assert pairs(formatting.formatting_pairs(same)) == set(itertools.combinations([f"h{i:03d}" for i in range(200)], 2))
     texts = ["a flow"] * 63 + ["\u0430 flow", "a \ufb02ow"]
