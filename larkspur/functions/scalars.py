@@ -15,15 +15,8 @@ STOPWORDS = (
     "using use used also such these those our his her its who why how"
 ).split()
 
-# Prompt formats of the embedding profiles and of the judge and expander models.
+# Prompt formats of the embedding profiles.
 QUERY_FORMATS = {"embeddinggemma": "task: search result | query: {query}", "bge-m3": "Represent this sentence: {query}", "generic": "{query}"}
-JUDGE_PROMPT = (
-    "<|im_start|>system\nJudge whether the Document meets the requirements based on the Query and the Instruct provided. "
-    'Note that the answer can only be "yes" or "no".<|im_end|>\n<|im_start|>user\n'
-    "<Instruct>: Given a web search query, retrieve relevant passages that answer the query\n<Query>: {query}\n<Document>: {document}<|im_end|>\n"
-    "<|im_start|>assistant\n<think>\n</think>\n"
-)
-EXPAND_PROMPT = "Generate search sub-queries for: {query}\nOutput lex (keywords), vec (semantic), and hyde (passage) variants:\n"
 #: Bytes of a document that a scorer sees.
 SCORED_BYTES = 6000
 

@@ -5,19 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import feedback_terms
-from .fusion import linear
+from .fusion import linear, top
 
 ALPHAS = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
 RERANK_WEIGHTS = (0.30, 0.40, 0.50, 0.60, 0.70, 0.80)
 PRF_WEIGHT, PRF_DOCS, PRF_TERMS = 0.30, 3, 10
 
 
-def metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(*by, query_id, ndcg, recall)`` of every judged query; without results both are 0.
+def metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, grid: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """``(*grid, query_id, ndcg, recall)`` of every judged query; without results both are 0.
+
+    With a ``grid``, a parameter and its values, ranked has a column of it and every query is measured for every value.
 
     ranked: ``query_id, doc, rank`` from 1; qrels: ``query_id, doc, relevance``, of which positive ones count.
     The gain is ``2^relevance - 1``, and the ideal ranks all judged documents of the query.
@@ -26,9 +28,11 @@ def metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, by: tuple[str, ...
     ideal = good.withColumn("i", F.expr("row_number() over (partition by query_id order by relevance desc)"))
     gain = (F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("i") + 1)
     ideal = ideal.groupBy("query_id").agg(F.sum(F.when(F.col("i") <= k, gain)).alias("idcg"), F.count("*").alias("relevant"))
+    by = tuple(grid or ())
     hits = ranked.where(F.col("rank") <= k).join(good, ["query_id", "doc"]).groupBy(*by, "query_id").agg(F.sum((F.pow(F.lit(2.0), F.col("relevance")) - 1) / F.log2(F.col("rank") + 1)).alias("dcg"), F.count("*").alias("hits"))
-    base = ideal if not by else ideal.join(ranked.select(*by).distinct())
-    both = base.join(hits, [*by, "query_id"], "left")
+    for name in by:
+        ideal = ideal.withColumn(name, F.explode(F.array(*map(F.lit, grid[name]))))
+    both = ideal.join(hits, [*by, "query_id"], "left")
     return both.select(*by, "query_id", F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"), F.coalesce(F.col("hits") / F.col("relevant"), F.lit(0.0)).alias("recall"))
 
 
@@ -46,14 +50,26 @@ def paired_t(a: DataFrame, b: DataFrame) -> DataFrame:
     return stats.withColumn("t", t).withColumn("low", F.col("mean_diff") - 1.96 * F.col("se")).withColumn("high", F.col("mean_diff") + 1.96 * F.col("se")).withColumn("significant", F.abs("t") >= 1.96)
 
 
-def tuned(bm25: DataFrame, vector: DataFrame, qrels: DataFrame, limit: int = 10, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
-    """``(alpha, ndcg, recall)`` of each weight: every query is fused with every weight in one plan."""
+def tuned(bm25: DataFrame, vector: DataFrame, qrels: DataFrame, limit: int = 10, alphas: tuple[float, ...] = ALPHAS, doc: Column | None = None) -> DataFrame:
+    """``(alpha, ndcg, recall)`` of each weight: every query is fused with every weight in one plan.
+
+    doc is what the judgments name a document by, ``collection/path`` if nothing is given.
+    """
+    doc = F.concat_ws("/", "collection", "path") if doc is None else doc
     grid = F.explode(F.array(*map(F.lit, alphas))).alias("alpha")
     b = bm25.select("*", grid).withColumn("query_id", F.struct("alpha", "query_id")).drop("alpha")
     v = vector.select("*", grid).withColumn("query_id", F.struct("alpha", "query_id")).drop("alpha")
     fused = linear(b, v, limit, F.col("query_id.alpha"))
-    ranked = fused.select(F.col("query_id.alpha").alias("alpha"), F.col("query_id.query_id").alias("query_id"), F.concat_ws("/", "collection", "path").alias("doc"), "rank")
-    return means(metrics(ranked, qrels, limit, ("alpha",)), ("alpha",))
+    ranked = fused.select(F.col("query_id.alpha").alias("alpha"), F.col("query_id.query_id").alias("query_id"), doc.alias("doc"), "rank")
+    return means(metrics(ranked, qrels, limit, {"alpha": alphas}), ("alpha",))
+
+
+def tuned_rerank(found: DataFrame, judged: DataFrame, qrels: DataFrame, limit: int = 10, weights: tuple[float, ...] = RERANK_WEIGHTS) -> DataFrame:
+    """``(weight, ndcg, recall)`` of each weight of the judge's score: ``query_id, collection, path, rerank``."""
+    both = found.drop("rank").join(judged, ["query_id", "collection", "path"], "left").withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
+    score = F.when(F.col("rerank").isNotNull(), (1 - F.col("weight")) * F.col("score") + F.col("weight") * F.col("rerank")).otherwise(F.col("score"))
+    ranked = top(both.withColumn("score", score).withColumn("run", F.struct("weight", "query_id")), limit, "run")
+    return means(metrics(ranked.select("weight", "query_id", F.col("path").alias("doc"), "rank"), qrels, limit, {"weight": weights}), ("weight",))
 
 
 def best(grid: DataFrame, parameter: str = "alpha") -> DataFrame:
@@ -61,9 +77,10 @@ def best(grid: DataFrame, parameter: str = "alpha") -> DataFrame:
     return grid.orderBy(F.desc("ndcg"), parameter).limit(1)
 
 
-def term_stats(docs: DataFrame) -> DataFrame:
-    """``(term, df)`` over ``text``."""
-    return docs.select(F.explode(F.array_distinct(feedback_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``(term, df)`` over ``text``, of all terms or of the given ones only."""
+    rows = docs.select(F.explode(F.array_distinct(feedback_terms(F.col("text")))).alias("term"))
+    return (rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def feedback(seeds: DataFrame, docs: DataFrame, queries: DataFrame, top_docs: int = PRF_DOCS, top_terms: int = PRF_TERMS) -> DataFrame:
@@ -76,7 +93,7 @@ def feedback(seeds: DataFrame, docs: DataFrame, queries: DataFrame, top_docs: in
     own = queries.select("query_id", F.explode(feedback_terms(F.col("text"))).alias("term")).distinct()
     tf = used.join(own, ["query_id", "term"], "left_anti").groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (F.log((total + 1.0) / (F.coalesce("df", F.lit(1)) + 1.0)) + 1.0)
-    scored = tf.join(term_stats(docs), "term", "left").select("query_id", "term", weight.alias("weight"))
+    scored = tf.join(term_stats(docs, tf), "term", "left").select("query_id", "term", weight.alias("weight"))
     return scored.withColumn("term_rank", F.expr("row_number() over (partition by query_id order by round(weight, 9) desc, term)")).where(F.col("term_rank") <= top_terms)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Sequence
@@ -10,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 
+from ..errors import EngineError
 from .expansion import SubQuery, fallback
 
 
@@ -39,6 +39,31 @@ class Scorer(Protocol):
     def score_batch(self, query: str, texts: Sequence[str]) -> list[float]: ...
 
 
+#: How a model makes one vector of its tokens' vectors.
+POOLING = ("none", "mean", "cls", "last", "rank")
+
+
+def pooling_of(model_path: str, override: str | None = None) -> str | None:
+    """Pooling mode of a model: what is asked for, cls for BGE models, else None, the model's own."""
+    if override is not None and override not in POOLING:
+        raise EngineError(f"pooling is one of {', '.join(POOLING)}")
+    return override or ("cls" if "bge" in model_path.lower().rsplit("/", 1)[-1] else None)
+
+
+def embed_queries(embedder: Embedder, texts: Sequence[str]) -> list[np.ndarray]:
+    """Vectors of queries, in one go where the model can."""
+    batch = getattr(embedder, "embed_query_batch", None)
+    return list(batch(texts)) if batch else [embedder.embed_query(t) for t in texts]
+
+
+def resized(vector: np.ndarray, width: int) -> np.ndarray:
+    """A vector cut or filled with zeros to the width, and of unit length again."""
+    out = np.zeros(width, np.float32)
+    out[: min(width, len(vector))] = vector[:width]
+    size = float(np.sqrt((out * out).sum()))
+    return out / size if size > 1e-10 else out
+
+
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -77,10 +102,3 @@ class FallbackExpander:
 
     def expand_query(self, query: str) -> list[SubQuery]:
         return fallback(query)
-
-
-def yes_probability(yes: float, no: float) -> float:
-    """Softmax of two logits."""
-    top = max(yes, no)
-    a, b = math.exp(yes - top), math.exp(no - top)
-    return a / (a + b)

@@ -197,6 +197,7 @@ SQL: dict[str, str] = {
       select {_OUT} from ({_top('f', 10)})""",
     "corpus_jsonl": "select _id, md5(coalesce(title, '')) as title, md5(coalesce(text, '')) as text from corpus_doc",
     "queries_jsonl": "select item_id as query_id, text from eval_item where text is not null",
+    "training_expansions": f"with {_TWO}, {_QRELS}, {_TEXTS} select query_id as qid, md5(text) as query, string_agg(doc, '|' order by doc) as relevant from qrels join texts using (query_id) group by query_id, text",
     "qrels_tsv": f"with {_TWO}, {_QRELS}, {_TEXTS} select query_id::varchar as query_id, doc, relevance, md5(text) as text from qrels join texts using (query_id)",
     "knn_topk": f"with e as (select vec_id, embedding from embeddings), a as (select embedding::double[] as q from e order by vec_id limit 1) select vec_id, round({_COS}, 6) as score from e, a order by round({_COS}, 9) desc, vec_id limit 10",
     "knn_batch": f"""select query_id, vec_id, round(score, 6) as score, rank from (select query_id, vec_id, score, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from (

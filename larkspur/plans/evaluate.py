@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..functions.chunking import TOKENS
 from ..functions.scalars import eval_text, query_prompt
 from ..operators import evaluation, fulltext, fusion, postings, rerank, vectors
 from ..operators.embedding import embed
-from ..operators.models import Embedder, Scorer
+from ..operators.models import Embedder, Scorer, embed_queries
+from ..storage import cut
 
 COLLECTION = "eval"
 
@@ -41,6 +43,7 @@ class Config:
     rerank_top: int = rerank.TOP
     analyzer: str = "porter"
     profile: str = "generic"
+    chunk_tokens: int = TOKENS
 
     def __post_init__(self) -> None:
         for name in ("alpha", "prf_weight", "rerank_weight"):
@@ -59,16 +62,18 @@ class Evaluation:
     optional sub-queries ``query_id, seq, kind, text``.
     """
 
-    def __init__(self, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, embedder: Embedder | None = None, scorer: Scorer | None = None, subs: DataFrame | None = None, chunks: DataFrame | None = None) -> None:
+    def __init__(self, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, embedder: Embedder | None = None, scorer: Scorer | None = None, subs: DataFrame | None = None, chunks: DataFrame | None = None, query_vectors: DataFrame | None = None) -> None:
         self.docs = corpus.select(F.lit(COLLECTION).alias("collection"), F.col("_id").alias("path"), "title", F.col("text").alias("body"), F.sha2(F.concat_ws(":", "_id", eval_text(F.col("title"), F.col("text"))), 256).alias("hash"))
         self.qrels, self.queries = qrels, queries.join(qrels.select("query_id"), "query_id", "left_semi")
         self.embedder, self.scorer, self.subs, self._chunks = embedder, scorer, subs, chunks
+        #: Known ``model, prompt, embedding`` of queries, and those that were made for want of them.
+        self.query_vectors, self.new_query_vectors = query_vectors, []
         self._indexes: dict[str, postings.Index] = {}
 
     def chunks(self, config: Config) -> DataFrame:
         """``hash, embedding`` of the corpus; embedded when none were given."""
         if self._chunks is None:
-            self._chunks = embed(self.docs.select("hash", "title", F.col("body").alias("doc")), self.embedder, profile=config.profile).select("hash", "embedding")
+            self._chunks = embed(self.docs.select("hash", "title", F.col("body").alias("doc")), self.embedder, config.chunk_tokens, config.profile).select("hash", "embedding")
         return self._chunks
 
     def _bm25(self, queries: DataFrame, limit: int, config: Config) -> DataFrame:
@@ -83,10 +88,18 @@ class Evaluation:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"query_id": batch["query_id"], "embedding": [embedder.embed_query(t).tolist() for t in batch["prompt"]]})
+                yield pd.DataFrame({"prompt": batch["prompt"], "embedding": [v.tolist() for v in embed_queries(embedder, batch["prompt"].tolist())]})
 
-        kind = queries.schema["query_id"].dataType.simpleString()
-        asked = queries.select("query_id", query_prompt(F.col("text"), config.profile).alias("prompt")).mapInPandas(run, f"query_id {kind}, embedding array<float>")
+        prompts = queries.select("query_id", query_prompt(F.col("text"), config.profile).alias("prompt"))
+        wanted = prompts.select("prompt").distinct()
+        if self.query_vectors is None:
+            made = wanted.mapInPandas(run, "prompt string, embedding array<float>")
+        else:
+            known = self.query_vectors.where(F.col("model") == embedder.model_id).groupBy("prompt").agg(F.first("embedding").alias("embedding"))
+            new = cut(wanted.join(known, "prompt", "left_anti").mapInPandas(run, "prompt string, embedding array<float>"))
+            self.new_query_vectors.append(new.select(F.lit(embedder.model_id).alias("model"), "prompt", "embedding"))
+            made = known.join(wanted, "prompt", "left_semi").unionByName(new)
+        asked = prompts.join(made, "prompt").select("query_id", "embedding")
         width = len(embedder.embed_query("width"))
         near = vectors.knn_batch(self.chunks(config), asked, min(4 * limit, vectors.FETCH_MOST), "hash", width=width)
         places = self.docs.groupBy("hash").agg(F.min("path").alias("path"))
@@ -161,6 +174,29 @@ class Evaluation:
     def summary(self, config: Config) -> DataFrame:
         return evaluation.means(self.scores(config))
 
+    def tuned_alpha(self, config: Config) -> DataFrame:
+        """``(alpha, ndcg, recall, n_queries)`` over the grid, both sides searched once."""
+        fetch = 3 * config.k
+        sides = (self._bm25(self.queries, fetch, config), self._vector(self.queries, fetch, config))
+        return evaluation.tuned(*sides, self.qrels, config.k, doc=F.col("path"))
+
+    def tuned_rerank(self, config: Config) -> DataFrame:
+        """``(weight, ndcg, recall, n_queries)`` over the grid, searched and judged once."""
+        from dataclasses import replace
+
+        fetch = max(2 * config.k, config.rerank_top)
+        found = cut(Evaluation.ranked(self._without_scorer(), replace(config, k=fetch)))
+        hashed = found.join(self.docs.select("collection", "path", "hash"), ["collection", "path"])
+        content = self.docs.select("hash", eval_text(F.col("title"), F.col("body")).alias("doc"))
+        rows = rerank.keyed(hashed, self.queries, self.scorer.model_id, config.rerank_top)
+        judged = cut(rows.join(rerank.score_misses(rows.withColumn("rerank", F.lit(None).cast("double")), content, self.scorer).withColumnRenamed("score", "rerank"), "key").select("query_id", "collection", "path", "rerank"))
+        return evaluation.tuned_rerank(found, judged, self.qrels, config.k)
+
+    def _without_scorer(self) -> Evaluation:
+        out = Evaluation.__new__(Evaluation)
+        out.__dict__ = self.__dict__ | {"scorer": None}
+        return out
+
     def compared(self, a: Config, b: Config) -> DataFrame:
         """Paired t-test of b against a."""
         return evaluation.paired_t(self.scores(a), self.scores(b))

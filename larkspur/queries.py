@@ -378,7 +378,7 @@ def tune_rerank(spark: SparkSession, sf: str) -> DataFrame:
     score = F.when(F.col("rerank").isNotNull(), (1 - F.col("weight")) * F.col("score") + F.col("weight") * F.col("rerank")).otherwise(F.col("score"))
     ranked = fusion.top(both.withColumn("score", score).withColumn("run", F.struct("weight", "query_id")), 10, "run")
     ranked = ranked.select("weight", "query_id", F.concat_ws("/", "collection", "path").alias("doc"), "rank")
-    return rounded(evaluation.means(evaluation.metrics(ranked, _qrels(spark, sf), 10, ("weight",)), ("weight",)), "ndcg", "recall")
+    return rounded(evaluation.means(evaluation.metrics(ranked, _qrels(spark, sf), 10, {"weight": evaluation.RERANK_WEIGHTS}), ("weight",)), "ndcg", "recall")
 
 
 def _feedback(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -426,6 +426,12 @@ def queries_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     return beir.read_queries(spark, _written(spark, rows, "queries", "json"))
 
 
+def training_expansions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every judged query with its relevant documents, as they are exported for training."""
+    rows = beir.expansion_pairs(_request_texts(spark, sf), _qrels(spark, sf).where("relevance > 0"), most=None)
+    return rows.select("qid", F.md5("query").alias("query"), F.array_join("relevant_doc_ids", "|").alias("relevant"))
+
+
 def qrels_tsv(spark: SparkSession, sf: str) -> DataFrame:
     """Judgments written as tab-separated lines, read back and joined with the queries that have one."""
     lines = _qrels(spark, sf).select(F.concat_ws("\t", F.col("query_id"), "doc", F.col("relevance")).alias("value"))
@@ -478,7 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         content_dedup, snapshot_diff, update_counts, updated_documents, new_content, title_extract, chunks, unembedded, unembedded_by_model, orphaned_vectors, kept_vectors,
         upserted_chunk_map, embed_chunks, collection_status, term_df, fulltext_index, bm25_scan, bm25_multi_collection, bm25_snippets, bm25_batch, knn_topk, knn_batch, vector_search, vector_width,
         l2_normalize, score_fusion, rrf_fusion, subquery_rrf, strong_signal_fused, strong_signal_bm25, min_score_limit, adaptive_alpha, expanded_fusion, hybrid_pipeline, rerank_blend, rerank_cache_split,
-        cache_keys, query_expansion, prompts, ndcg_recall, mean_metrics, paired_t_test, tune_alpha, tune_rerank, prf_terms, prf_queries, prf_fusion, corpus_jsonl, queries_jsonl, qrels_tsv, output_csv, output_json,
+        cache_keys, query_expansion, prompts, ndcg_recall, mean_metrics, paired_t_test, tune_alpha, tune_rerank, prf_terms, prf_queries, prf_fusion, corpus_jsonl, queries_jsonl, qrels_tsv, training_expansions, output_csv, output_json,
         output_markdown, p7_pending, p7_found,
     )
 }

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut
+
 CORPUS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 QUERIES = T.StructType([T.StructField("_id", T.StringType()), T.StructField("text", T.StringType())])
 
@@ -34,11 +36,48 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("query_id", "doc").agg(F.max_by("relevance", "at").alias("relevance"))
 
 
+def in_file_order(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of a file that was read, all of them for 0."""
+    return rows if not most else rows.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(most).drop("_at")
+
+
 def judged(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """Queries with at least one judgment."""
     return queries.join(qrels.select("query_id"), "query_id", "left_semi")
 
 
+def expansion_pairs(queries: DataFrame, qrels: DataFrame, seed: int = 42, most: int | None = 200, dev: float = 0.2) -> DataFrame:
+    """``(query, relevant_doc_ids, qid, part)``: judged queries in an order drawn by hash, at most ``most``."""
+    items = qrels.where("relevance > 0").groupBy("query_id").agg(F.sort_array(F.collect_set("doc")).alias("relevant_doc_ids"))
+    rows = items.join(queries, "query_id").select(F.col("text").alias("query"), "relevant_doc_ids", F.col("query_id").alias("qid"), _part("query_id", seed, dev).alias("part"))
+    return rows if most is None else rows.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(most)
+
+
+def _part(key: str, seed: int, dev: float):
+    return F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1000)) < int(dev * 1000), "dev").otherwise("train")
+
+
+def write_jsonl(rows: DataFrame, folder: str) -> None:
+    """One object per line, in a folder of files."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
+def export_training(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, folder: str, name: str, most_pairs: int = 1000, most_queries: int = 200) -> dict[str, int]:
+    """Write the ``{name}_rerank_*`` and ``{name}_expand_*`` parts; the number of rows of each.
+
+    The caps belong to the export: a sample of this size is what it is for.
+    """
+    pairs = rerank_pairs(queries, corpus, qrels)
+    pairs = pairs.orderBy(F.xxhash64("query", "document"), "query", "document").limit(most_pairs)
+    out = {}
+    for kind, rows in (("rerank", cut(pairs)), ("expand", cut(expansion_pairs(queries, qrels, most=most_queries)))):
+        for part in ("train", "dev"):
+            own = rows.where(F.col("part") == part).drop("part")
+            write_jsonl(own, f"{folder}/{name}_{kind}_{part}.jsonl")
+            out[f"{kind}_{part}"] = own.count()
+    return out
+
+
 def rerank_pairs(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, seed: int = 42, positives: int = 3, most: int = 10, dev: float = 0.2) -> DataFrame:
     """``(query, document, relevant, part)``: training pairs, some positives and three times as many negatives per query.
 
@@ -54,7 +93,7 @@ def rerank_pairs(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, seed:
     drawn = size.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(buckets))).join(pool.drop("r"), "b").join(qrels.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     negatives = drawn.withColumn("r", F.row_number().over(_by("query_id", order))).where(F.col("r") <= F.col("n"))
     pairs = picked.select("query_id", "doc", F.lit(True).alias("relevant")).unionByName(negatives.select("query_id", "doc", F.lit(False).alias("relevant")))
-    part = F.when(F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(1000)) < int(dev * 1000), "dev").otherwise("train")
+    part = _part("query_id", seed, dev)
     return pairs.join(texts, "doc").join(queries.select("query_id", F.col("text").alias("query")), "query_id").select("query", "document", "relevant", part.alias("part"))
 
 

@@ -103,3 +103,37 @@ def test_evaluation(spark, run):
     for bad in ({"alpha": 2}, {"k": 0}, {"mode": "x"}, {"normalizer": 0}):
         with pytest.raises(EngineError):
             Config(**bad)
+
+
+def test_evaluation_command(spark, run, tmp_path, capsys):
+    corpus, queries, qrels, _ = run
+    data = tmp_path / "data"
+    (data / "qrels").mkdir(parents=True)
+    (data / "corpus.jsonl").write_text("\n".join(json.dumps(r.asDict()) for r in corpus.collect()))
+    (data / "queries.jsonl").write_text("\n".join(json.dumps({"_id": r["query_id"], "text": r["text"]}) for r in queries.collect()))
+    (data / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\n" + "\n".join(f"{r['query_id']}\t{r['doc']}\t{r['relevance']}" for r in qrels.collect()))
+
+    def command(*args):
+        code = cli.main(["--home", str(tmp_path / "home"), *args], spark)
+        return code, capsys.readouterr().out.strip()
+
+    cache = str(tmp_path / "cache")
+    first = json.loads(command("eval", "--data", str(data), "--mode", "vector", "--cache-db", cache)[1])
+    assert first["n_queries"] == 4 and json.loads(command("eval", "--data", str(data), "--mode", "vector", "--cache-db", cache)[1]) == first
+    tuned = json.loads(command("eval", "--data", str(data), "--tune-alpha", "--tune-rerank", "--rerank", "--expander", "--fuse", "rrf", "--chunk-size", "64")[1])
+    assert len(tuned["tuned_alpha"]["grid"]) == 6 and tuned["tuned_weight"]["best"] in evaluation.RERANK_WEIGHTS
+    lines = command("bench", "--data", str(data), "plain:--mode bm25", "bad:--mode nonsense")[1].splitlines()
+    assert lines[1].startswith("plain") and "FAILED" in lines[2]
+    made = json.loads(command("export", "--data", str(data), "--out", f"file://{tmp_path}/out", "--name", "x")[1])
+    assert made["expand_train"] + made["expand_dev"] == 4 and made["rerank_train"] + made["rerank_dev"] > 12
+    back = spark.read.json(f"file://{tmp_path}/out/x_expand_train.jsonl")
+    assert set(back.columns) == {"query", "relevant_doc_ids", "qid"}
+
+
+def test_pooling_and_width():
+    from larkspur.operators import models
+
+    assert models.pooling_of("/m/BGE-m3.gguf") == "cls" and models.pooling_of("x") is None and models.pooling_of("bge", "mean") == "mean"
+    with pytest.raises(EngineError):
+        models.pooling_of("x", "median")
+    assert np.allclose(models.resized(np.array([3.0, 4.0, 5.0]), 2), [0.6, 0.8]) and len(models.resized(np.zeros(2), 5)) == 5
