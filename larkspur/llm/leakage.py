@@ -16,19 +16,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mixed, shingles, word_hashes
+from ..storage import cut
+from .words import mixed, shingles, slices, word_hashes
 
 WINDOW = 12
 #: Steps of a walk; at this many, nearly all walks have left the window.
 STEPS = 2 * WINDOW
 #: Samples of the walk, and steps in each.
 SAMPLES, SAMPLED = 4, 9
-#: Item windows that may be sent to every executor (16 bytes a word each); more are worked off in rounds.
+#: Item words whose windows may be sent to every executor (about 80 bytes each).  With more, exact windows are met by a shuffle on their
+#: hashes, edited ones in rounds.
 WINDOWS_AT_ONCE = 200_000
+#: Bits of the sieve that is sent to every executor instead, whatever the number of items: 8 MB.
+SIEVE_BITS, SIEVE_PART = 26, 16
+#: Parts that the documents of one window are split into when they meet it.
+SALTS = 8
 #: Document words worked on at a time, and candidates compared at a time.
 AT_ONCE = 400_000
 COMPARED = 20_000
@@ -212,6 +219,91 @@ def _matches(windows: Windows, words: np.ndarray, ends: np.ndarray) -> dict[tupl
     return found
 
 
+def _keys(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """One hash of all samples of the walks from ``starts``."""
+    out = np.zeros(len(starts), np.uint64)
+    for sample in _walks(words, starts, size):
+        out = mixed(out ^ sample)
+    return out
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(i, size, h, check)`` of every window of every item: the hash that meets and the one that verifies."""
+    for batch in batches:
+        words, at = word_hashes(batch.column(1).to_pylist())
+        counts = np.diff(at)
+        for size in np.unique(np.minimum(counts[counts > 0], WINDOW)).tolist():
+            own = np.flatnonzero(np.minimum(counts, WINDOW) == size)
+            n = counts[own] - size + 1
+            starts = np.repeat(at[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            with np.errstate(over="ignore"):
+                h, check = _keys(words, starts, size), shingles(words, size)[starts]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(own, n))), pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)), pa.array(check.view(np.int64))], ["i", "size", "h", "check"])
+
+
+def _sieved(windows: DataFrame) -> np.ndarray:
+    """Bits of all windows' hashes, put together in parts of bounded size."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
+        for batch in batches:
+            place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        parts = bits.reshape(-1, 1 << SIEVE_PART)
+        used = np.flatnonzero(parts.any(1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[u].tobytes() for u in used], pa.binary())], ["part", "bits"])
+
+    def either(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"]]).tobytes()]})
+
+    out = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
+    for r in windows.select("h").mapInArrow(own, "part long, bits binary").groupBy("part").applyInPandas(either, "part long, bits binary").collect():
+        out[r["part"] << SIEVE_PART : (r["part"] + 1) << SIEVE_PART] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _met_by_shuffle(documents: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, item_id, edits)`` for any number of items in one scan of the documents.
+
+    Only windows that pass a sieve of fixed size are shuffled.  They meet the items' windows by the hash of their walks, split by a
+    salt, and a second hash of the words verifies them.
+    """
+    spark = documents.sparkSession
+    item_kind, kind = items.schema["i"].dataType.simpleString(), documents.schema[key].dataType.simpleString()
+    windows = cut(items.mapInArrow(_window_rows, f"i {item_kind}, size int, h long, check long"))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most 12
+    shared = spark.sparkContext.broadcast(_sieved(windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in slices(np.array([len(t) for t in batch.column(1).to_pylist()]), AT_ONCE * 6):
+                part = batch.slice(begin, end - begin)
+                words, at = word_hashes(part.column(1).to_pylist())
+                doc = np.repeat(np.arange(len(part)), np.diff(at))
+                for size in sizes:
+                    for lo in range(0, len(words), AT_ONCE):
+                        starts = np.arange(lo, min(lo + AT_ONCE, len(words) - size + 1))
+                        starts = starts[doc[starts] == doc[starts + size - 1]] if len(starts) else starts
+                        if not len(starts):
+                            continue
+                        with np.errstate(over="ignore"):
+                            h = _keys(words[: starts[-1] + size], starts, size)
+                        place = h >> np.uint64(64 - SIEVE_BITS)
+                        good = shared.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+                        if not good.any():
+                            continue
+                        first = int(starts[0])
+                        with np.errstate(over="ignore"):
+                            check = shingles(words[first : starts[-1] + size], size)[starts[good] - first]
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts[good]])), pa.array(np.full(len(check), size, np.int32)), pa.array(h[good].view(np.int64)), pa.array(check.view(np.int64))], [key, "size", "h", "check"])
+
+    found = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, size int, h long, check long")
+    found = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    met = found.join(windows.distinct().withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), ["size", "h", "check", "salt"])
+    return met.select(key, F.col("i").alias("item_id"), F.lit(0).alias("edits")).distinct()
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: int = 0) -> DataFrame:
     """``(key, item_id, edits)``: the items whose text a document contains, fully or in part.
 
@@ -221,15 +313,17 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     and place.
 
     Whole texts are read, and nothing is shuffled but repeated rows' results.  The items' windows go to every executor only while
-    they are at most 200,000; more items are worked off in several passes.
+    they are at most 200,000.  Beyond, exact windows meet by a shuffle after one scan, and edited ones are worked off in several passes.
 
     Defined cases: null texts, and texts without a word, contain and are contained in nothing; repeated rows
     give one result; of items of no more words than ``edits`` at least one word is there; empty tables give an empty result.
     """
     spark = documents.sparkSession
     rows = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
-    sized = rows.withColumn("n", F.size(F.split("t", r"\s+")))
+    sized = rows.withColumn("n", F.size(F.split("t", r"[^\p{L}\p{N}]+")))
     passes = max(1, -(-int(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // WINDOWS_AT_ONCE))
+    if passes > 1 and not edits:
+        return _met_by_shuffle(documents, rows, key, text)
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id {item_kind}, edits int"
     out = None

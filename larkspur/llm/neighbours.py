@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..storage import cut
 from .links import all_pairs
 
@@ -299,6 +300,14 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cosine)], ["a", "b", "similarity"])
 
 
+def apart(points: DataFrame) -> DataFrame:
+    """``points``, or an error where two keys share an id: one in a hundred times among half a billion keys."""
+    shared = points.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    if not shared.isEmpty():
+        raise EngineError("two keys have one 64-bit hash; change one of them")
+    return points
+
+
 def _scored(edges: DataFrame, points: DataFrame) -> DataFrame:
     """``(a, b, similarity)`` of keys, with the full vectors."""
     kind = points.schema["key"].dataType.simpleString()
@@ -317,7 +326,8 @@ def mutual_neighbours(vectors: DataFrame, key: str = "hash_seq", vector: str = "
     and not finite vectors take no part; repeated rows of a key count once; equal similarities share the rank.
     """
     points = usable(vectors, key, vector, width).withColumn("id", F.xxhash64("v"))
-    members = points.groupBy("key").agg(F.min("id").alias("id"))
+    # Keys of one node are pairs only where a second hash of their vectors agrees as well.
+    members = points.groupBy("key").agg(F.min_by(F.struct("id", F.xxhash64(F.lit(1), "v").alias("check")), "id").alias("m")).select("key", "m.id", "m.check")
     copies = members.groupBy("id").agg(F.count("*").alias("copies"))
     nodes = points.select("id", F.col("id").alias("key"), "v")
     graph = neighbour_graph(nodes, k, width, similarity)
@@ -329,8 +339,9 @@ def mutual_neighbours(vectors: DataFrame, key: str = "hash_seq", vector: str = "
     counted = both.select(own.columns).unionByName(own).withColumn("upto", F.expr("sum(copies) over (partition by a order by similarity desc range between unbounded preceding and current row)"))
     ranked = counted.withColumn("r", F.expr("1 + upto - sum(copies) over (partition by a, similarity)")).where((F.col("r") <= among) & (F.col("a") != F.col("b")))
     mutual = ranked.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.max("similarity").alias("similarity")).where("n = 2").drop("n")
-    across = mutual.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return across.unionByName(all_pairs(members, ["id"], "key").withColumn("similarity", F.lit(1.0)))
+    of_node = members.select("key", "id")
+    across = mutual.join(of_node.toDF("x", "a"), "a").join(of_node.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return across.unionByName(all_pairs(members, ["id", "check"], "key").withColumn("similarity", F.lit(1.0)))
 
 
 def nearest(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
@@ -338,21 +349,22 @@ def nearest(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding"
 
     The graph holds ``pool`` edges a node; the best by their 8-bit codes are scored with the full vectors.
     """
-    points = usable(vectors, key, vector, width)
+    points = apart(usable(vectors, key, vector, width))
     graph = neighbour_graph(points, pool, width, orders=orders, run_rows=run_rows)
     scored = _scored(_top(graph, k + 3), points)
     ranked = scored.withColumn("rank", F.expr("row_number() over (partition by a order by similarity desc, b)")).where(F.col("rank") <= k)
     return ranked.select(F.col("a").alias("key"), "rank", F.col("b").alias("neighbour"), "similarity")
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, rounds: int = 3, entries: int = 1024, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, rounds: int = 12, entries: int = 1024, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
     """``(key, rank, neighbour, similarity)`` of each query, by greedy search over the neighbour graph.
 
     A search enters at the query's own node, if it is indexed, and at the nearest of at most ``entries`` fixed
-    nodes; each round follows the edges of its ``pool`` best nodes so far.  The query itself is no result.
+    nodes; each round follows the edges of its ``pool`` best nodes so far.  It ends when none of any query's best nodes is new, at
+    the latest after ``rounds``.  The query itself is no result.
     """
     spark = vectors.sparkSession
-    points = usable(vectors, key, vector, width)
+    points = apart(usable(vectors, key, vector, width))
     graph = neighbour_graph(points, pool, width, orders=orders, run_rows=run_rows)
     asked = usable(queries, key, vector, width).select(F.col("id").alias("query"), F.col("v").alias("qv")).dropDuplicates(["query"])
     gates = points.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(entries).collect()  # a fixed number of rows

@@ -1,7 +1,7 @@
 """SQL twins of the subpackage's queries, for DuckDB over the same tables.
 
 Left out are those whose result no SQL over whole tables gives: token ids, chosen pieces, clean text,
-the approximate neighbour lists, edit distances and components.  The tests compare these with brute force.
+the approximate neighbour lists and edit distances.  The tests compare these with brute force.
 """
 
 from __future__ import annotations
@@ -63,6 +63,17 @@ SQL: dict[str, str] = {
       lines as (select hash, ls[i] as l, i, stop, inside[i] as fence, sum(octet_length(encode(ls[i])) + 1) over (partition by hash, ls order by i) - octet_length(encode(ls[i])) - 1 as pos from (select *, unnest(range(1, len(ls) + 1)) as i from fences))
       select distinct hash, pos::bigint as pos from lines where pos > 0 and i > stop and fence = '' and regexp_matches(l, '^#{1,6} ')""",
     "p6_found": f"with {_SHINGLES} select hash_a, hash_b from shared join sizes x on x.hash = hash_a join sizes y on y.hash = hash_b where c >= 0.6 * (x.n + y.n - c)",
+    "p6_groups": f"""with recursive words as (select hash, w, array_to_string(w, ' ') as c from (select hash, {_WORDS.format('doc')} as w from (select hash, min(doc) as doc from content where hash is not null and doc is not null group by hash)) where len(w) >= 5),
+      classes as (select c, min(hash) as rep, count(*) as copies from words group by c),
+      runs as (select distinct hash, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words where hash in (select rep from classes)),
+      sizes as (select hash, count(*) as n from runs group by hash),
+      shared as (select a.hash as a, b.hash as b, count(*) as c from runs a join runs b on a.s = b.s and a.hash < b.hash group by all),
+      edges as (select a, b from shared join sizes x on x.hash = a join sizes y on y.hash = b where c >= 0.8 * (x.n + y.n - c)),
+      ways as (select a, b from edges union all select b, a from edges),
+      reach as (select a as x, a as y from ways union select r.x, w.b from reach r join ways w on w.a = r.y),
+      groups as (select x as rep, min(y) as component from reach group by x), degrees as (select a as rep, count(*) as links from ways group by a),
+      found as (select hash, coalesce(component, case when copies > 1 then rep end) as group_id, coalesce(links, 0) as links, copies from words join classes using (c) left join groups using (rep) left join degrees using (rep))
+      select hash, group_id, links, copies, collection, path from found left join (select distinct hash, collection, path from documents) using (hash) where group_id is not null""",
     "p9_found": f"""with {_PARTS}, ks as (select distinct k from items where k > 0),
       runs as (select distinct doc_id, k, s from (select doc_id, k, array_to_string(w[i:i + k - 1], ' ') as s from (select *, unnest(range(1, len(w) - k + 2)) as i from docs, ks)) where s in (select s from parts))
       select distinct doc_id, item_id from runs join parts using (k, s)""",

@@ -491,7 +491,9 @@ def test_ids_of_any_text(reference, text):
 # ---- 9
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("at_once", [200_000, 20])
+def test_leaks(spark, monkeypatch, at_once):
+    monkeypatch.setattr(leakage, "WINDOWS_AT_ONCE", at_once)
     r = random.Random(6)
     vocabulary = [f"v{i}" for i in range(400)]
     items = [(f"i{k}", " ".join(r.choices(vocabulary, k=n))) for k, n in enumerate([30, 12, 9, 5, 1, 60])] + [("null", None), ("blank", " ?! "), (None, "v1 v2"), ("i0", "v1 v2 v3 v4 v5 v6 v7 v8 v9 v10 v11 v12")]
