@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ ALL_PAIRS_UP_TO = 64
 BLOCK = 256
 #: The largest groups, at most so many and each over ``HOT`` items, are told to every task; all others are met by a shuffle, and
 #: none of them holds more than a thousandth of the rows.
-HOTTEST, HOT = 1000, 100_000
+HOTTEST, HOT, SALTS = 1000, 100_000, 64
 
 
 def all_pairs(rows: DataFrame, group: list[str], item: str, variant: str | None = None) -> DataFrame:
@@ -19,15 +21,19 @@ def all_pairs(rows: DataFrame, group: list[str], item: str, variant: str | None
 
     rows: one row per item; ``variant`` as in ``linked_pairs``.  No pair of a group is left out, however
     large it is: the items of a large group are spread over salted blocks, and every two blocks are paired in a
-    cell of bounded size, so that no task gathers the group.  The sizes of the few hottest groups are sent to every task, so that
-    their items aren't brought together to learn them.  Null group keys give nothing.
+    cell of bounded size, so that no task gathers the group.  The few hottest groups are told to every task, which
+    salts their items before they are shuffled.  Null group keys give nothing.
     """
     rows = rows.select(*group, F.col(item).alias("_item"), F.col(variant or item).alias("_variant"))
+    # The same filter on every use of the rows lets them share one shuffle.
+    rows = rows.where(reduce(lambda a, b: a & b, (F.col(g).isNotNull() for g in group)))
     stats = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_variant").alias("_lo"), F.max("_variant").alias("_hi")).where("_n > 1 and _lo <> _hi")
-    sized = stats.select(*group, F.expr(f"cast(ceil(_n / {BLOCK}) as int)").alias("_blocks"))
-    hottest = stats.where(F.col("_n") > HOT).orderBy(F.desc("_n")).limit(HOTTEST).select(*group, F.expr(f"cast(ceil(_n / {BLOCK}) as int)").alias("_blocks"))
-    tagged = rows.join(F.broadcast(hottest), group, "left")
-    members = tagged.where("_blocks is not null").unionByName(tagged.where("_blocks is null").drop("_blocks").join(sized, group))
+    # The rows of the hottest groups are salted before they meet their group's size.
+    hottest = stats.where(F.col("_n") > HOT).orderBy(F.desc("_n")).limit(HOTTEST).select(*group, F.lit(True).alias("_hot"))
+    salted = rows.join(F.broadcast(hottest), group, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_item"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    salts = F.when(F.col("_n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sized = stats.select(*group, F.expr(f"cast(ceil(_n / {BLOCK}) as int)").alias("_blocks"), F.explode(salts).alias("_salt"))
+    members = salted.join(sized, [*group, "_salt"])
     members = members.withColumn("_own", F.expr("cast(pmod(xxhash64(_item), _blocks) as int)"))
     spread = members.select(*group, "_item", "_variant", "_own", F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_other"))
     cells = spread.groupBy(*group, F.least("_own", "_other").alias("_from"), F.greatest("_own", "_other").alias("_to")).agg(F.array_sort(F.collect_list(F.struct("_item", "_variant", "_own"))).alias("_xs")).where("size(_xs) > 1")
