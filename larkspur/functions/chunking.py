@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +78,8 @@ def chunks(text: str, tokens: int = TOKENS) -> list[tuple[int, int]]:
         start = following if start < following <= end else end
 
 
-def chunked(rows: DataFrame, key: str, text: str, tokens: int = TOKENS) -> DataFrame:
-    """``(key, seq, pos, text)`` for every chunk of every row; null texts give none."""
+def chunked(rows: DataFrame, key: str, text: str, tokens: int = TOKENS, carried: Sequence[str] = ()) -> DataFrame:
+    """``(key, seq, pos, text, *carried)`` for every chunk of every row; null texts give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,8 @@ def chunked(rows: DataFrame, key: str, text: str, tokens: int = TOKENS) -> DataF
                         seqs.append(seq)
                         positions.append(a)
                         texts.append(data[a:b].decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(places, pa.int64())), pa.array(seqs, pa.int32()), pa.array(positions, pa.int64()), pa.array(texts, pa.string())], [key, "seq", "pos", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(places, pa.int64())), pa.array(seqs, pa.int32()), pa.array(positions, pa.int64()), pa.array(texts, pa.string()), *(part.column(2 + i).take(pa.array(places, pa.int64())) for i in range(len(carried)))], [key, "seq", "pos", "text", *carried])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {kind}, seq int, pos long, text string")
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"), *carried).mapInArrow(run, f"`{key}` {kind}, seq int, pos long, text string{more}")

@@ -90,37 +90,27 @@ def yes_no(yes: Column, no: Column) -> Column:
     return F.exp(yes - top) / (F.exp(yes - top) + F.exp(no - top))
 
 
-def title_of(text: str | None, path: str | None) -> str | None:
-    """Title of a Markdown text: front matter, else the first line that isn't blank, else the file's stem."""
-    lines = (text or "").split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
-    lines = [line.removesuffix("\r") for line in lines]
-    at, named = 0, ""
-    if lines and lines[0] == "---":
-        at = 1
-        while at < len(lines):
-            line = lines[at]
-            at += 1
-            if line in ("---", "..."):
-                break
-            for key in ("title:", "name:"):
-                if line.startswith(key):
-                    named = line[len(key) :].strip().strip('"').strip("'") or named
-                    break
-    if named:
-        return named
-    for line in lines[at:]:
-        line = line.strip()
-        if line:
-            return line[2:].strip() if line.startswith("# ") else line
-    return os.path.splitext(os.path.basename(path))[0] or path if path else path
-
-
-@F.pandas_udf(StringType())
-def extract_title(text: pd.Series, path: pd.Series) -> pd.Series:
-    """``title_of`` of two columns, in Arrow batches."""
-    return pd.Series([title_of(t, p) for t, p in zip(text, path, strict=True)], dtype=object)
+_BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+#: Front matter: a first line ``---`` up to a line ``---`` or ``...``, or all of the text where none comes.
+_FRONT = r"(?sd)\A---\r?(?:\n|\z)(.*?)(?:\z|(?<=\n)(?:---|\.\.\.)\r?(?:\n|\z))"
+
+
+def _stripped(value: Column, of: str = _BLANK) -> Column:
+    return F.regexp_replace(value, f"\\A{of}+|{of}+\\z", "")
+
+
+def extract_title(text: str | Column, path: str | Column) -> Column:
+    """Title of a Markdown text: the last ``title`` or ``name`` of its front matter, else its first line that isn't blank, else the
+    file's stem."""
+    text, path = (F.col(c) if isinstance(c, str) else c for c in (text, path))
+    text = F.coalesce(text, F.lit(""))
+    values = F.regexp_extract_all(F.regexp_extract(text, _FRONT, 1), F.lit(r"(?md)^(?:title|name):(.*)$"), 1)
+    named = F.filter(F.transform(values, lambda v: _stripped(_stripped(_stripped(v), '"'), "'")), lambda v: v != "")
+    rest = F.substr(text, F.length(F.regexp_extract(text, _FRONT, 0)) + 1)
+    line = _stripped(F.regexp_extract(rest, rf"\A{_BLANK}*([^\n]*)", 1))
+    head = F.when(line.startswith("# "), _stripped(F.substr(line, F.lit(3)))).otherwise(line)
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\A(\.*[^.].*)\.[^.]*\z", "$1")
+    return F.when(F.size(named) > 0, F.element_at(named, -1)).when(line != "", head).when(stem != "", stem).otherwise(path)
 
 
 @F.pandas_udf(StringType())

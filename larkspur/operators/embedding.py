@@ -42,7 +42,7 @@ def embed(contents: DataFrame, embedder: Embedder, tokens: int = TOKENS, profile
 
     Chunks are made and embedded in Arrow batches; a worker loads the model once.
     """
-    pieces = chunked(contents, "hash", "doc", tokens).join(contents.select("hash", F.coalesce("title", F.lit("")).alias("title")), "hash")
+    pieces = chunked(contents.withColumn("title", F.coalesce("title", F.lit(""))), "hash", "doc", tokens, ["title"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

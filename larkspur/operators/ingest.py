@@ -141,6 +141,11 @@ class SnapshotStore:
             fs.delete(temporary, False)
             raise Conflict(self.root) from error
 
+    def compact(self, table: str, folders: int = 16) -> None:
+        """Rewrite a table that has grown by at least so many folders as one."""
+        if len(self.current().get(table, [])) >= folders:
+            self.commit({table: self.read(table)})
+
     def wipe(self) -> None:
         """Forget all tables at once; the folders stay until they are cleaned up."""
         self._publish(self.version() + 1, {})
@@ -175,6 +180,25 @@ class SnapshotStore:
         self._fs().delete(self._path(), True)
 
 
+def documents(store: SnapshotStore) -> DataFrame | None:
+    """The documents table with the changes that batches have logged since it was written."""
+    state = store.current()
+    parts = [store.spark.read.parquet(*state[t]) for t in ("documents", "changes") if state.get(t)]
+    if not state.get("changes"):
+        return parts[0] if parts else None
+    if state.get("documents"):
+        parts[0] = parts[0].withColumn("seq", F.lit(0).cast("long"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    values = F.struct("title", "hash", "created_at", "modified_at", "active")
+    return rows.groupBy(*KEY).agg(F.max_by(values, "seq").alias("d")).select(*KEY, "d.*")
+
+
+def merge_changes(store: SnapshotStore, folders: int = 16) -> None:
+    """Fold logged changes into the documents table when there are so many folders of them."""
+    if len(store.current().get("changes", [])) >= folders:
+        store.commit({"documents": documents(store)}, dropped=["changes"])
+
+
 def update(store: SnapshotStore, scanned: DataFrame, force: bool = False) -> dict[str, int]:
     """Bring the index up to the scanned files: ``collection, path, title, hash, doc``.
 
@@ -189,14 +213,14 @@ def changed(store: SnapshotStore, scanned: DataFrame, force: bool = False) -> tu
     The scan and the changes are written to the shared folder first, so that files are read once, whatever uses them.
     """
     now, base = F.current_timestamp(), store.version()
-    documents, content = (None, None) if force else (store.read("documents"), store.read("content"))
+    stored, content = (None, None) if force else (documents(store), store.read("content"))
     scanned = cut(scanned)
     empty = scanned.limit(0)
-    documents = documents if documents is not None else empty.select(*KEY, "title", "hash", now.alias("created_at"), now.alias("modified_at"), F.lit(True).alias("active"))
+    stored = stored if stored is not None else empty.select(*KEY, "title", "hash", now.alias("created_at"), now.alias("modified_at"), F.lit(True).alias("active"))
     content = content if content is not None else empty.select("hash", "doc", now.alias("created_at"))
-    changes = cut(diff(scanned, documents.where("active")))
+    changes = cut(diff(scanned, stored.where("active")))
     new = new_content(content, scanned, now)
-    store.commit({"documents": apply_diff(documents, scanned, now)} | ({"content": new} if force else {}), {} if force else {"content": new}, base=base)
+    store.commit({"documents": apply_diff(stored, scanned, now)} | ({"content": new} if force else {}), {} if force else {"content": new}, dropped=["changes"], base=base)
     return counts(changes).first().asDict(), changes
 
 

@@ -13,12 +13,14 @@ _SPLIT = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p
 _RANKING, _SUMMARY = fulltext.Phrase(("ranking",)), fulltext.Phrase(("summary",))
 
 
-def _bm25(phrases: list[fulltext.Phrase], title_weight: float = 1.0) -> str:
+def _bm25(phrases: list[fulltext.Phrase], title_weight: float = 1.0, split: str = _SPLIT, stems: dict[str, str] | None = None) -> str:
     """CTEs that end in ``found(collection, path, hash, score)``.  The phrases are written out here: the parser has no part in them."""
 
     def count(column: str, p: fulltext.Phrase) -> str:
         def equal(x: str, j: int) -> str:
             word = p.tokens[j]
+            if stems:
+                return f"regexp_full_match({x}, '{stems[word]}')"
             return f"starts_with({x}, '{word}')" if p.prefix and j == len(p.tokens) - 1 else f"{x} = '{word}'"
 
         n = len(p.tokens)
@@ -34,16 +36,16 @@ def _bm25(phrases: list[fulltext.Phrase], title_weight: float = 1.0) -> str:
     idf = "(case when ln((docs - df{0} + 0.5) / (df{0} + 0.5)) > 0 then ln((docs - df{0} + 0.5) / (df{0} + 0.5)) else 1e-6 end)"
     raw = " + ".join(f"{idf.format(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / average))" for i in wanted)
     return f"""with {_DOCS},
-tokens as (select collection, path, hash, {_SPLIT.format('path')} as p, {_SPLIT.format('title')} as t, {_SPLIT.format('body')} as b from docs),
+tokens as (select collection, path, hash, {split.format('path')} as p, {split.format('title')} as t, {split.format('body')} as b from docs),
 counted as (select collection, path, hash, len(p) + len(t) + len(b) as size, {ns}, {fs} from tokens),
 stats as (select collection, count(*) as docs, avg(size) as average, {dfs} from counted group by collection),
 raws as (select collection, path, hash, {raw} as raw from counted join stats using (collection) where {keep}),
 found as (select collection, path, hash, raw / (1 + raw) as score from raws)"""
 
 
-def _search(phrases: list[fulltext.Phrase], limit: int = 20, title_weight: float = 1.0, min_score: float | None = None) -> str:
+def _search(phrases: list[fulltext.Phrase], limit: int = 20, title_weight: float = 1.0, min_score: float | None = None, **stemming) -> str:
     least = "" if min_score is None else f"and score >= {min_score}"
-    return _bm25(phrases, title_weight) + f"""
+    return _bm25(phrases, title_weight, **stemming) + f"""
 select collection, path, round(raw_score, 6) as score, '#' || substr(hash, 1, 6) as doc_id from (
   select *, score as raw_score, row_number() over (partition by collection order by round(score, 9) desc, path) as r from found) where r <= {2 * limit} {least}
 order by round(raw_score, 9) desc, collection, path limit {limit}"""
@@ -264,6 +266,8 @@ SQL |= {
     "bm25_phrase": _search([fulltext.Phrase(("the", "vector"))]),
     "bm25_not": _search(_NOT),
     "bm25_scan": _search(_NOT),
+    # The words of the tables that have the two stems.
+    "bm25_porter": _search([fulltext.Phrase(("rank",)), fulltext.Phrase(("calibr",))], split=_SPLIT.replace("lower(coalesce({0}, ''))", "strip_accents(lower(coalesce({0}, '')))"), stems={"rank": "rank(s|ed|ing|ings)?", "calibr": "calibrat(e|es|ed|ing|ion|ions|or|ors)"}),
     "bm25_title_weight": _search([fulltext.Phrase(("ranking",), True)], title_weight=3.0),
     "bm25_min_score": _search([fulltext.Phrase(("ranking",), True)], min_score=0.5),
 }

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from ..sources.files import read_files
 from ..sources.registry import Collection, Registry
 from .pipeline import Outcome, SearchSession
 
+log = logging.getLogger(__name__)
+
 
 class CachedExpander:
     """An expander whose own results are kept in a store, by model and normal query; failures aren't kept."""
@@ -71,9 +76,9 @@ class Engine:
         self.registry.rename(old, new)
         moved = self.store(old).move(ingest.location(f"{self.index_root}/index", new))
         self.postings(old).store.delete()
-        documents = moved.read("documents")
+        documents = ingest.documents(moved)
         if documents is not None:
-            moved.commit({"documents": documents.withColumn("collection", F.lit(new))})
+            moved.commit({"documents": documents.withColumn("collection", F.lit(new))}, dropped=["changes"])
             self.postings(new).replace(self._documents([new]))
 
     def update(self, name: str, force: bool = False) -> dict[str, int]:
@@ -98,11 +103,17 @@ class Engine:
     def embed(self, name: str, force: bool = False) -> dict[str, int]:
         """Drop orphaned vectors and embed what has none; everything with ``force``."""
         store = self.store(name)
-        documents, content, stored = store.read("documents"), store.read("content"), store.read("vectors")
+        documents, content, stored = ingest.documents(store), store.read("content"), store.read("vectors")
         if documents is None:
             raise EngineError(f"{name} isn't indexed yet")
         if stored is None or force:
             stored = self.spark.createDataFrame([], "hash string, seq int, pos long, model string, embedding array<float>, embedded_at timestamp")
+        width = len(self.embedder.embed_query("width"))
+        if width < 1:
+            raise EngineError("the embedder makes vectors without dimensions")
+        if not stored.where(F.size("embedding") != width).isEmpty():
+            # Vectors of another model's width can't be compared: all are made anew.
+            stored = stored.limit(0)
         pending = embedding.unembedded(documents, stored).select("hash")
         titles = documents.where("active").groupBy("hash").agg(F.min(F.struct("path", "title")).alias("t")).select("hash", "t.title")
         new = embedding.embed(content.join(pending, "hash", "left_semi").join(titles, "hash").select("hash", "title", "doc"), self.embedder, profile=self.profile)
@@ -112,13 +123,29 @@ class Engine:
         return {"documents": pending.count(), "chunks": store.read("vectors").count() - before}
 
     def _all(self, names: list[str], table: str) -> DataFrame | None:
-        parts = [p for p in (self.store(n).read(table) for n in names) if p is not None]
+        read = ingest.documents if table == "documents" else lambda store: store.read(table)
+        parts = [p for p in (read(self.store(n)) for n in names) if p is not None]
         out = None
         for p in parts:
             out = p if out is None else out.unionByName(p)
         return out
 
+    def readable(self, names: list[str]) -> list[str]:
+        """The collections whose index can be opened; the others are logged and passed over, unless none is left."""
+        good, failed = [], []
+        for name in names:
+            try:
+                self._all([name], "documents")
+                good.append(name)
+            except (AnalysisException, Py4JJavaError, ValueError) as error:
+                log.warning("collection %s is passed over: %s", name, error)
+                failed.append(name)
+        if failed and not good:
+            raise EngineError(f"no index can be read: {', '.join(failed)}")
+        return good
+
     def session(self, names: list[str]) -> SearchSession:
+        names = self.readable(names)
         docs, content, chunks = self._documents(names), self._all(names, "content"), self._all(names, "vectors")
         indexes = [i for i in (self.postings(n).index() for n in names) if i is not None]
         index = postings.Index.union(indexes) if indexes else None
@@ -129,12 +156,13 @@ class Engine:
         outcome = session.search(query, limit, mode, min_score)
         for made in session.new_scores:
             self.caches.commit(appended={"scores": made.withColumn("created_at", F.current_timestamp())})
+        self.caches.compact("scores")
         return outcome
 
     def get(self, target: str) -> str:
         """The text of ``collection/path`` or of a ``#`` id."""
         for name in self.registry.names():
-            documents, content = self.store(name).read("documents"), self.store(name).read("content")
+            documents, content = ingest.documents(self.store(name)), self.store(name).read("content")
             if documents is None:
                 continue
             wanted = F.col("hash").startswith(target[1:]) if target.startswith("#") else F.concat_ws("/", "collection", "path") == target

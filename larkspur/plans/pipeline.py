@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,6 +17,7 @@ from ..operators import fulltext, fusion, postings, rerank, vectors
 from ..operators.expansion import expand_all
 from ..operators.models import Embedder, QueryExpander, Scorer
 
+logger = logging.getLogger(__name__)
 #: What ``all results`` means.
 ALL = 4096
 
@@ -79,22 +82,29 @@ class SearchSession:
         return session._hybrid(query, text, limit, min_score)
 
     def _hybrid(self, query: str, text: str, limit: int, min_score: float | None) -> Outcome:
-        log = []
+        log, began = [], time.perf_counter()
+
+        def done(line: str) -> list[str]:
+            """The log with one more line; the time since the start goes to the logger."""
+            log.append(line)
+            logger.info("%s after %.2f s", line, time.perf_counter() - began)
+            return log
+
         direct = self._full_text(query, limit, min_score)
         first = self._one(direct, limit)
         if first.count() and fusion.strong_bm25(first).first()["strong"]:
-            return Outcome(direct, ["full text is sure of itself"])
+            return Outcome(direct, done("full text is sure of itself"))
         if self.embedder is None:
-            return Outcome(direct, ["no embedder: full text only"])
+            return Outcome(direct, done("no embedder: full text only"))
         fused = fusion.linear(self._bm25(query, 3 * limit), self._vector(text, 3 * limit), 2 * limit)
         seen = fused.limit(1).count()
         if seen and fusion.strong_fused(fused).first()["strong"]:
-            return Outcome(self._described(fusion.at_least(fused.where(F.col("rank") <= limit), min_score)), ["fusion is sure of itself"])
+            return Outcome(self._described(fusion.at_least(fused.where(F.col("rank") <= limit), min_score)), done("fusion is sure of itself"))
         ranked = fused
         if self.scorer is not None:
             if self.expander is not None:
                 subs, _ = expand_all([query], self.expander)[query]
-                log.append(f"{len(subs)} sub-queries")
+                done(f"{len(subs)} sub-queries")
                 ranked = self._sub_queries(subs, fused, limit)
             hashes = self.docs.select("collection", "path", "hash")
             queries = self.docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
@@ -102,7 +112,7 @@ class SearchSession:
             ranked, made = rerank.rerank(ranked.join(hashes, ["collection", "path"]), queries, self.content, cache, self.scorer, limit)
             ranked = ranked.select("query_id", "collection", "path", "score", "rank")
             self.new_scores.append(made)
-            log.append("reranked")
+            done("reranked")
         return Outcome(self._described(fusion.at_least(ranked.where(F.col("rank") <= limit), min_score)), log)
 
     def _sub_queries(self, subs, fused: DataFrame, limit: int) -> DataFrame:

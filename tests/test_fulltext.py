@@ -102,7 +102,7 @@ def test_stored_index(spark, corpus, tmp_path, analyzer, monkeypatch):
         store.add(spark.createDataFrame(list(changed.values()), schema), gone)
         now = {p: r for p, r in (now | changed).items() if p not in lost}
         docs, index = spark.createDataFrame(list(now.values()), schema), store.index()
-        for text in ('"mapping" rust', '"half open"', "rust -cat", "run"):
+        for text in ('"half open" rust', "map -cat") if step else ('"mapping"',):
             want = {(r["collection"], r["path"]): r["score"] for r in fulltext.matches(docs, parse_query(text, analyzer), analyzer).collect()}
             have = {(r["collection"], r["path"]): r["score"] for r in postings.matches(index, text).collect()}
             assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)

@@ -24,15 +24,19 @@ NOW = datetime.datetime(2025, 7, 1)
 # ---- scalars
 
 
-@pytest.mark.parametrize(
-    ("text", "title"),
-    [
-        ("# Head\nx", "Head"), ("prose\n# Head", "prose"), ("---\ntitle: A\nname: 'B'\n---\n# C", "B"), ("---\ntitle: \"A\"\n...\nx", "A"), ("---\nx: 1\n---\n\n# C", "C"),
-        ("---\ntitle: A\n# never closed", "A"), ("---\nx\n", "file"), ("", "file"), (None, "file"), ("\n \n", "file"),
-    ],
-)
-def test_title(text, title):
-    assert scalars.title_of(text, "a/file.md") == title
+TITLES = [
+    ("# Head\nx", "Head"), ("prose\n# Head", "prose"), ("---\ntitle: A\nname: 'B'\n---\n# C", "B"), ("---\ntitle: \"A\"\n...\nx", "A"), ("---\nx: 1\n---\n\n# C", "C"),
+    ("---\ntitle: A\n# never closed", "A"), ("---\nx\n", "file"), ("", "file"), (None, "file"), ("\n \n", "file"), ("---\r\ntitle: A \r\n---\r\nx", "A"), ("---\n---\nx", "x"), ("---", "file"),
+    ("----\nx", "----"), ("---\ntitle: A\ntitle:\n---\n", "A"), ("#  Two ", "Two"), ("#", "#"), (" \u2003# Head", "Head"), ("---\n a\n--- x\n---\ny", "y"), ("---\ntitle: x\u2028y\n---\n", "x\u2028y"),
+]
+
+
+def test_title(spark):
+    df = spark.createDataFrame([(i, t, "a/file.md") for i, (t, _) in enumerate(TITLES)], "i int, text string, path string")
+    got = {r["i"]: r["title"] for r in df.select("i", scalars.extract_title("text", "path").alias("title")).collect()}
+    assert [got[i] for i in range(len(TITLES))] == [title for _, title in TITLES]
+    paths = spark.createDataFrame([("a/b.c.md",), (".md",), ("a/..md",), ("x",), ("a/",), (None,), ("a..md",)], "path string").select("path", scalars.extract_title(F.lit(None).cast("string"), "path").alias("t"))
+    assert [r["t"] for r in paths.collect()] == ["b.c", ".md", "..md", "x", "a/", None, "a."]
 
 
 def test_scalars(spark):
@@ -187,9 +191,14 @@ def test_stream(spark, tmp_path):
     store = ingest.SnapshotStore(spark, f"file://{tmp_path}/index")
     for _ in range(2):
         streaming.ingest_stream(spark.readStream.schema(schema).parquet(str(source)), store, str(tmp_path / "at"), once=True).awaitTermination()
-    assert [(r["path"], r["hash"]) for r in store.read("documents").collect()] == [("a", "2")]
+    assert [(r["path"], r["hash"]) for r in ingest.documents(store).collect()] == [("a", "2")]
     streaming.upsert(store, spark.read.parquet(str(source)))
-    assert store.read("documents").count() == 1 and store.read("content").count() == 1
+    assert ingest.documents(store).count() == 1 and store.read("content").count() == 1
+    streaming.upsert(store, spark.createDataFrame([("c", "b", "B", "3", "z", NOW), ("c", "a", "A2", "4", "y", NOW)], schema))
+    assert {(r["path"], r["hash"], r["title"]) for r in ingest.documents(store).collect()} == {("a", "4", "A2"), ("b", "3", "B")}
+    ingest.merge_changes(store, 1)
+    assert "changes" not in store.current() and store.read("documents").count() == 2
+    assert ingest.update(store, scan(spark, [("c", "a", "A2", "4")])) == {"added": 0, "updated": 0, "deactivated": 1}
 
 
 def test_embedding_run(spark):
