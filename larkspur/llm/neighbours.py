@@ -308,12 +308,13 @@ def apart(points: DataFrame) -> DataFrame:
     return points
 
 
-def _scored(edges: DataFrame, points: DataFrame) -> DataFrame:
-    """``(a, b, similarity)`` of keys, with the full vectors."""
+def _scored(edges: DataFrame, points: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``(a, b, similarity)`` of keys, with the full vectors; ``sources`` are the points that edges start from, if others."""
     kind = points.schema["key"].dataType.simpleString()
     # One row an id, so that a key repeated in a third of all rows doesn't multiply; both joins share the shuffle.
     once = points.groupBy("id").agg(F.first(F.struct("key", "v")).alias("p"))
-    a = edges.join(once.select(F.col("id").alias("src"), F.col("p").alias("pa")), "src").select("dst", F.col("pa.key").alias("a"), F.col("pa.v").alias("va"))
+    first = once if sources is None else sources.groupBy("id").agg(F.first(F.struct("key", "v")).alias("p"))
+    a = edges.join(first.select(F.col("id").alias("src"), F.col("p").alias("pa")), "src").select("dst", F.col("pa.key").alias("a"), F.col("pa.v").alias("va"))
     both = a.join(once.select(F.col("id").alias("dst"), F.col("p").alias("pb")), "dst").select("a", F.col("pb.key").alias("b"), "va", F.col("pb.v").alias("vb")).where("a <> b")
     return both.select("a", "b", "va", "vb").mapInArrow(_exact, f"a {kind}, b {kind}, similarity double").distinct()
 
@@ -356,17 +357,18 @@ def nearest(vectors: DataFrame, key: str = "hash_seq", vector: str = "embedding"
     return ranked.select(F.col("a").alias("key"), "rank", F.col("b").alias("neighbour"), "similarity")
 
 
-def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, rounds: int = 12, entries: int = 1024, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector: str = "embedding", width: int = 64, k: int = 5, pool: int = 20, beam: int = 120, rounds: int = 12, entries: int = 4096, orders: int = WIDE_ORDERS, run_rows: int = WIDE_RUN) -> DataFrame:
     """``(key, rank, neighbour, similarity)`` of each query, by greedy search over the neighbour graph.
 
     A search enters at the query's own node, if it is indexed, and at the nearest of at most ``entries`` fixed
-    nodes; each round follows the edges of its ``pool`` best nodes so far.  It ends when none of any query's best nodes is new, at
+    nodes; each round follows the edges of its ``beam`` best nodes so far.  It ends when none of any query's best nodes is new, at
     the latest after ``rounds``.  The query itself is no result.
     """
     spark = vectors.sparkSession
     points = apart(usable(vectors, key, vector, width))
     graph = neighbour_graph(points, pool, width, orders=orders, run_rows=run_rows)
-    asked = usable(queries, key, vector, width).select(F.col("id").alias("query"), F.col("v").alias("qv")).dropDuplicates(["query"])
+    sources = usable(queries, key, vector, width)
+    asked = sources.select(F.col("id").alias("query"), F.col("v").alias("qv")).dropDuplicates(["query"])
     gates = points.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(entries).collect()  # a fixed number of rows
     table = spark.sparkContext.broadcast((np.array([g["id"] for g in gates], np.int64), np.array([g["v"] for g in gates], np.float32).reshape(len(gates), width)))
 
@@ -378,7 +380,7 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector
                 continue
             q = _matrix(batch.column(1), width)
             s = (q / np.sqrt((q * q).sum(1, keepdims=True))) @ v.T
-            rows, columns = _best(s, min(pool, len(ids)), -2)
+            rows, columns = _best(s, min(beam, len(ids)), -2)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(ids[columns]), pa.array(s[rows, columns], pa.float32())], ["query", "node", "sim"])
 
     own = asked.select("query", F.col("query").alias("node"), F.lit(1.0).cast("float").alias("sim"))
@@ -389,9 +391,9 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "hash_seq", vector
         steps = steps.join(reached.select("query", "node"), ["query", "node"], "left_anti")
         scored = steps.join(vectors_by_id, "node").join(asked, "query").groupBy("query", "node").agg(F.max(_cosine("v", "qv")).cast("float").alias("sim"))
         merged = reached.withColumn("open", F.lit(False)).unionByName(scored.withColumn("open", F.lit(True)))
-        reached = cut(merged.withColumn("r", F.expr("row_number() over (partition by query order by sim desc, node)")).where(F.col("r") <= pool).drop("r"))
+        reached = cut(merged.withColumn("r", F.expr("row_number() over (partition by query order by sim desc, node)")).where(F.col("r") <= beam).drop("r"))
         if reached.where("open").limit(1).count() == 0:
             break
-    best = _scored(reached.where("query <> node").select(F.col("query").alias("src"), F.col("node").alias("dst")), points)
+    best = _scored(reached.where("query <> node").select(F.col("query").alias("src"), F.col("node").alias("dst")), points, sources)
     ranked = best.withColumn("rank", F.expr("row_number() over (partition by a order by similarity desc, b)")).where(F.col("rank") <= k)
     return ranked.select(F.col("a").alias("key"), "rank", F.col("b").alias("neighbour"), "similarity")

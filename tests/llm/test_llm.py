@@ -133,6 +133,11 @@ def test_neighbours(spark):
     found = neighbours.search(df, df.where("hash_seq like '%50'")).collect()
     hits = [f"k{j:05d}" in {r["neighbour"] for r in found if r["key"] == f"k{i:05d}"} for i in range(50, len(v), 100) for j in top[i]]
     assert np.mean(hits) >= 0.9
+    # Queries that aren't in the index find their nearest as well.
+    outside = neighbours.search(df.where("hash_seq not like '%50'"), df.where("hash_seq like '%50'")).collect()
+    inside = np.array([j for j in range(len(v)) if j % 100 != 50])
+    nearest = {f"k{i:05d}": {f"k{j:05d}" for j in inside[np.argsort(-s[i, inside])[:5]]} for i in range(50, len(v), 100)}
+    assert np.mean([n in {r["neighbour"] for r in outside if r["key"] == k} for k, ns in nearest.items() for n in ns]) >= 0.9
     assert neighbours.mutual_neighbours(df.limit(0)).count() == 0 and neighbours.nearest(df.limit(0)).count() == 0
 
 
